@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesserae.llm import pieces
+from tesserae.llm import language_id, mixing, pieces, sharding, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +18,36 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(documents(spark, sf_dir), "piece_bpe_32k.model", keep_ids=False)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, ceiling=2).drop("source", "copies")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(language_id.fold("doc_id", 5) != 0))
+    scored = toxicity.score(docs, model, evidence=False)
+    return scored.select("doc_id", (language_id.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir), shards=8)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs.where(language_id.fold("doc_id", 4) != 2))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", (language_id.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
+        "op5_mixing": op5_mixing,
+        "op6_toxicity": op6_toxicity,
+        "op9_sharding": op9_sharding,
+        "op10_language_id": op10_language_id,
     }
 
 
