@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import fingerprint, language_id, mixing, pieces, pii, quality, sharding, toxicity
+from tesserae.llm import fingerprint, language_id, mixing, ngram_join, pieces, pii, quality, sharding, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (language_id.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir), n=5, threshold=0.8)
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(documents(spark, sf_dir))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op5_mixing": op5_mixing,
         "op6_toxicity": op6_toxicity,
+        "op7_ngram_join": op7_ngram_join,
         "op8_fingerprints": op8_fingerprints,
         "op9_sharding": op9_sharding,
         "op10_language_id": op10_language_id,
