@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import fingerprint, language_id, mixing, ngram_join, pieces, pii, quality, sharding, toxicity
+from tesserae.llm import fingerprint, language_id, line_dedup, mixing, ngram_join, pieces, pii, quality, sharding, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(documents(spark, sf_dir))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(documents(spark, sf_dir), threshold=0.8)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, ceiling=2).drop("source", "copies")
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": op1_pii,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_quality": op3_quality,
+        "op4_line_dedup": op4_line_dedup,
         "op5_mixing": op5_mixing,
         "op6_toxicity": op6_toxicity,
         "op7_ngram_join": op7_ngram_join,
