@@ -16,13 +16,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.texts import map_texts
+
 #: A word is a run of letters.
 WORD = re.compile(r"[^\W\d_]+")
 #: What rejected texts without a letter are called.
@@ -169,24 +169,22 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     """``keep`` columns with ``lang_pred``, ``score`` and ``rejected`` (the score is below the calibrated level).
     Map-only; the model (4 bytes a bucket and language) goes to each worker once, as a broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    slim = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         m = shared.value
-        for batch in batches:
+
+        def work(texts: list[str | None]) -> list[list]:
             said, score = [], []
-            for text in batch["t"]:
+            for text in texts:
                 p = m.probabilities(text) if text and m.languages else None
                 k = -1 if p is None else int(p.argmax())
                 said.append(UNDETERMINED if k < 0 else m.languages[k])
                 score.append(0.0 if k < 0 else float(p[k]))
-            out = batch.drop(columns="t").rename(columns={f"k{i}": c for i, c in enumerate(keep)})
-            out["lang_pred"], out["score"] = pd.Series(said, dtype="object", index=out.index), pd.Series(score, dtype="float64", index=out.index)
-            out["rejected"] = (out["lang_pred"] == UNDETERMINED) | (out["score"] < m.reject_below)
-            yield out
+            return [said, score, [x == UNDETERMINED or y < m.reject_below for x, y in zip(said, score, strict=True)]]
+
+        return work
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return slim.mapInPandas(run, f"{kinds}, lang_pred string, score double, rejected boolean")
+    return map_texts(docs, {c: c for c in keep}, text_col, "lang_pred string, score double, rejected boolean", start)
 
 
 def fold(id_col: str, folds: int) -> Column:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.graph import components
+from tesserae.llm.texts import map_texts
 from tesserae.storage import cut
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -143,21 +144,20 @@ def roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, trees: int = 24, longest: int = 5, block: int = 2048, block_shingles: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, class_id, n_links`` for each row: the least id among the documents that links join it with, and the
     number of documents it is linked with (copies count)."""
-    spark = docs.sparkSession
     ratio = Fraction(threshold).limit_denominator(1000)
     depth = depth_for(recall, threshold, trees, longest)
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         hashes = MinHash(trees * longest)
-        for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.iloc[k : k + 500]
-                sets = shingle_sets(part["t"].tolist(), n)
-                yield pd.DataFrame({"i": part["i"], "key": [set_key(s) for s in sets], "size": [len(s) for s in sets], "sig": [hashes.signature(s) if len(s) else b"" for s in sets]})
 
-    signed = cut(rows.mapInPandas(sign, f"i {kind}, key binary, size long, sig binary"), "forest")
+        def work(texts: list[str | None]) -> list[list]:
+            sets = shingle_sets(texts, n)
+            return [[set_key(s) for s in sets], [len(s) for s in sets], [hashes.signature(s) if len(s) else b"" for s in sets]]
+
+        return work
+
+    signed = cut(map_texts(docs, {id_col: "i"}, text_col, "key binary, size long, sig binary", start, rows=500), "forest")
     # one label for each class; a class is named by 64 bits of its key
     named = signed.select("i", "key", "size", "sig", F.xxhash64("key").alias("cid"))
     classes = cut(named.groupBy("key", "cid").agg(F.min("i").alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig")), "forest-classes")

@@ -14,14 +14,13 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tesserae.llm.texts import map_texts
 
 #: SentencePiece writes a space as this mark.
 SPACE = "▁"
@@ -204,26 +203,19 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     With ``keep_ids`` false the two large columns are left out. ``model`` is a path on every executor or a file name
     of the installed public tokenizers. Map-only: no shuffle; memory is one Arrow batch and the bounded memo tables."""
-    kind = docs.schema[id_col].dataType.simpleString()
     wide = ", ids array<int>, decoded string" if keep_ids else ""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         enc = encoder(resolve(model))
-        for batch in batches:
-            rows = {"n": [], "a": [], "b": [], "ids": [], "out": []}
-            for text in batch["t"]:
+
+        def work(texts: list[str | None]) -> list[list]:
+            rows = []
+            for text in texts:
                 ids, said = enc.encode_parts(text or "")
                 back = enc.decode(ids)
-                rows["n"].append(len(ids))
-                rows["a"].append(hashlib.sha256(said.encode()).hexdigest())
-                rows["b"].append(hashlib.sha256(back.encode()).hexdigest())
-                if keep_ids:
-                    rows["ids"].append(ids)
-                    rows["out"].append(back)
-            made = pd.DataFrame({id_col: batch["i"], "n_tokens": pd.Series(rows["n"], dtype="int64"), "ids_sha256": pd.Series(rows["a"], dtype="object"), "decoded_sha256": pd.Series(rows["b"], dtype="object")})
-            if keep_ids:
-                made["ids"], made["decoded"] = pd.Series(rows["ids"], dtype="object"), pd.Series(rows["out"], dtype="object")
-            yield made
-
-    slim = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    return slim.mapInPandas(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{wide}")
+                rows.append((len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), *((ids, back) if keep_ids else ())))
+            return [list(c) for c in zip(*rows, strict=True)]
+
+        return work
+
+    return map_texts(docs, {id_col: id_col}, text_col, f"n_tokens long, ids_sha256 string, decoded_sha256 string{wide}", start)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.language_id import fold
+from tesserae.llm.texts import map_texts
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -238,25 +239,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return ToxicityModel(terms, idf, texts, ids, said, weight, k)
 
 
-def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), evidence: bool = True) -> DataFrame:
+def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: tuple[str, ...] | dict[str, str] = ("doc_id",), evidence: bool = True) -> DataFrame:
     """``keep`` columns with ``score``, ``predicted`` (1 from 0.5 on) and, with ``evidence``, ``neighbours``: the ids,
     labels and cosines of the nearest examples. Map-only; the bounded model is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    slim = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         m = shared.value
-        for batch in batches:
-            found = [m.score(t) for t in batch["t"]]
-            out = batch.drop(columns="t").rename(columns={f"k{i}": c for i, c in enumerate(keep)})
-            out["score"] = pd.Series([s for s, _ in found], dtype="float64", index=out.index)
-            out["predicted"] = (out["score"] >= 0.5).astype("int32")
-            if evidence:
-                out["neighbours"] = pd.Series([[{"example": str(m.index.ids[p]), "label": int(m.index.labels[p]), "cosine": s} for s, p in near] for _, near in found], dtype="object", index=out.index)
-            yield out
-
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return slim.mapInPandas(run, f"{kinds}, score double, predicted int" + ", neighbours array<struct<example: string, label: int, cosine: double>>" * evidence)
+
+        def work(texts: list[str | None]) -> list[list]:
+            found = [m.score(t) for t in texts]
+            scores = [s for s, _ in found]
+            said = [[{"example": str(m.index.ids[p]), "label": int(m.index.labels[p]), "cosine": s} for s, p in near] for _, near in found]
+            return [scores, [int(s >= 0.5) for s in scores], *([said] if evidence else [])]
+
+        return work
+
+    made = "score double, predicted int" + ", neighbours array<struct<example: string, label: int, cosine: double>>" * evidence
+    return map_texts(docs, {c: c for c in keep} if not isinstance(keep, dict) else keep, text_col, made, start)
 
 
 __all__ = ["ToxicityModel", "examples", "fit", "fold", "score"]
