@@ -7,14 +7,13 @@ remaining texts are encoded and decoded. All but the last stage return the colum
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import language_id, line_dedup, mixing, ngram_join, pieces, toxicity
-from tesserae.storage import cut, shared_dir
+from tesserae.storage import cut
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -70,7 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{shared_dir(spark)}/pipeline-{k}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{k}")
     return docs
