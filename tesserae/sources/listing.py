@@ -109,10 +109,12 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     ignore = where / ".gitignore"
     patterns = [*fixed.IGNORE_DIRS, *(ignore_patterns(ignore.read_text(errors="ignore")) if ignore.is_file() else [])]
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = where.resolve().as_uri() if where.exists() else root.rstrip("/")
-    relative = F.call_function("try_url_decode", F.substring("path", len(base) + 2, 100_000)) if where.exists() else F.substring("path", len(base) + 2, 100_000)
+    local = where.exists()
+    base = str(where.resolve()) if local else root.rstrip("/")
+    plain = F.call_function("try_url_decode", F.regexp_replace("path", "^file:/+", "/")) if local else F.col("path")
+    relative = F.substring(plain, len(base.rstrip("/")) + 2, 100_000)
     rows = found.select(relative.alias("path"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"), "content")
-    listed = git_files(root) if where.exists() else None
+    listed = git_files(root) if local else None
     if listed is not None:
         rows = rows.join(F.broadcast(spark.createDataFrame([(p,) for p in listed], "path string")), "path", "left_semi")
     return indexable(rows, patterns).withColumn("ord", F.row_number().over(_by_path()))
