@@ -103,6 +103,7 @@ def assess(docs: DataFrame, min_words: int = 50, repeat_percent: int = 50, top:
     by = Window.partitionBy("l").orderBy(F.desc("n"), "w")
     best = counted.withColumn("k", F.row_number().over(by)).where(F.col("k") <= top)
     references = best.join(whole, "l").groupBy("l").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("w", (F.col("n") / F.col("all")).alias("q"))))).alias("words"))
+    references = references.withColumn("all_of", total(F.map_values("words")))
     references = cut(references, "quality-reference")
     common = sorted({w for r in references.select(F.map_keys("words").alias("w")).collect() for w in r["w"]}) or [""]
 
@@ -126,11 +127,12 @@ def assess(docs: DataFrame, min_words: int = 50, repeat_percent: int = 50, top:
     each = digest.join(classes, "l", "left").join(references, "l", "left")
     gap = total(F.transform(F.arrays_zip("c", "classes"), lambda z: share_part(z["c"], z["classes"])))
     p = lambda n: n / F.greatest(F.lit(1.0), F.col("spoken").cast("double"))
-    own = F.filter("h", lambda x: F.element_at("words", x["w"]).isNotNull())
-    said, there = total(F.transform(own, lambda x: p(x["n"]))), total(F.transform(own, lambda x: F.element_at("words", x["w"])))
-    all_of = total(F.map_values("words"))
+    # share here and in the reference of each reference word that the text has
+    own = F.filter(F.transform("h", lambda x: F.struct(p(x["n"]).alias("p"), F.element_at("words", x["w"]).alias("q"))), lambda x: x["q"].isNotNull())
+    start = F.struct(F.lit(0.0).alias("said"), F.lit(0.0).alias("there"), F.lit(0.0).alias("parts"))
+    add = lambda a, x: F.struct((a["said"] + x["p"]).alias("said"), (a["there"] + x["q"]).alias("there"), (a["parts"] + share_part(x["p"], x["q"])).alias("parts"))
     # words that the text lacks add their reference share in full
-    spread = total(F.transform(own, lambda x: share_part(p(x["n"]), F.element_at("words", x["w"])))) + share_part(1 - said, 1 - all_of) + (all_of - there)
+    spread = F.aggregate(own, start, add, lambda a: a["parts"] + share_part(1 - a["said"], 1 - F.col("all_of")) + (F.col("all_of") - a["there"]))
     each = each.withColumn("class_distance", F.sqrt(F.greatest(gap / 2, F.lit(0.0)))).withColumn("word_distance", F.sqrt(F.greatest(spread / 2, F.lit(0.0))))
     far = (F.col("class_distance") > class_limit + class_slack / F.sqrt(F.greatest("word_chars", F.lit(1)))) | (F.col("word_distance") > word_limit + word_slack / F.sqrt(F.greatest("n_words", F.lit(1))))
     return each.select(F.col("i").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"), F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
