@@ -104,19 +104,23 @@ def disclosing(docs: DataFrame, disclosure: float, support: int, small: int) ->
     # the entities' own letters aren't terms
     bare = F.aggregate("s", F.col("line"), lambda t, s: F.replace(t, s["value"], F.lit(" ")))
     near = cut(marked.select("h", F.explode(F.array_distinct(F.transform("s", entity))).alias("entity"), words(bare).alias("w")), "pii-lines")
+    texts = docs.select("h").distinct().count()
+    ic = F.log2(F.lit(float(max(1, texts))) / F.col("with_entity"))
+    pmi = lambda with_term: F.log2(F.col("both") * F.lit(float(max(1, texts))) / (F.col(with_term) * F.col("with_entity")))
+    own = near.select("h", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
     together = near.select("h", "entity", F.explode("w").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    # a term stands in at least as many texts as among these lines, so pairs that fall short here do so in the corpus:
+    # common words need no count over all texts
+    at_least = near.select("h", F.explode("w").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("with_term_here"))
+    together = together.join(own, "entity").where(ic > 0).join(at_least, "term").where(pmi("with_term_here") >= disclosure * ic).select("entity", "term", "both", "with_entity")
     together = cut(together, "pii-pairs")
     known = together.select("term").distinct()
     # the words of all texts are only sent anywhere if the candidate terms are too many to be sent to them
     count = known.count()
     known = F.broadcast(known) if count <= small else known
     where = cut(docs.select("i", "h", F.explode(words(F.col("t"))).alias("term")).join(known, "term"), "pii-terms")
-    texts = docs.select("h").distinct().count()
     having = where.select("h", "term").distinct().groupBy("term").agg(F.count("*").alias("with_term"))
-    own = near.select("h", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    ic = F.log2(F.lit(float(max(1, texts))) / F.col("with_entity"))
-    pmi = F.log2(F.col("both") * F.lit(float(max(1, texts))) / (F.col("with_term") * F.col("with_entity")))
-    pairs = together.join(having, "term").join(own, "entity").where((ic > 0) & (pmi >= disclosure * ic)).select("term", "entity", (pmi / ic).alias("ratio"))
+    pairs = together.join(having, "term").where(pmi("with_term") >= disclosure * ic).select("term", "entity", (pmi("with_term") / ic).alias("ratio"))
     pairs = cut(pairs, "pii-disclosing")
     return where.join(pairs.select("term").distinct(), "term", "left_semi"), pairs
 
