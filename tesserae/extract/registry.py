@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable, Iterator
+from dataclasses import asdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tesserae.extract import python, script, shell
 from tesserae.extract.rows import Found, Symbol
@@ -52,28 +55,22 @@ def extract(files: DataFrame) -> DataFrame:
     shuffle; a file that its parser fails on gives one row of kind ``failed``, and files are parsed one at a time."""
     parsers = dict(PARSERS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = to_arrow_schema(StructType.fromDDL(ROW))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, ext, content in zip(batch["path"], batch["ext"], batch["content"], strict=True):
-                parser = parsers.get(ext)
+            for file in batch.to_pylist():
+                parser = parsers.get(file["ext"])
                 if parser is None:
                     continue
                 try:
-                    found = parser(bytes(content or b"").decode("utf-8", "ignore")).records()
+                    found = parser(bytes(file["content"] or b"").decode("utf-8", "ignore")).records()
                 except Exception as e:  # a parser's failure must not end the job
-                    found = [{"kind": "failed", "name": type(e).__name__, "ord": 0}]
-                rows += [{"path": path, **r} for r in found]
-            names = [c.split()[0] for c in ROW.split(", ")]
-            made = pd.DataFrame(rows, columns=names).astype(object)
-            for c in ("decorators", "inherits", "values", "calls"):
-                made[c] = [x if isinstance(x, list) else [] for x in made[c]]
-            made["attrs"] = [x if isinstance(x, dict) else {} for x in made["attrs"]]
-            for c in ("line", "ord"):
-                made[c] = made[c].astype("Int32")
-            yield made.where(made.notna(), None)
-
-    return files.select("path", "ext", "content").mapInPandas(run, ROW)
+                    found = [asdict(Symbol("failed", type(e).__name__)) | {"ord": 0}]
+                rows = [{"path": file["path"], **r, "attrs": list(r["attrs"].items())} for r in found]
+                yield pa.RecordBatch.from_pylist(rows, schema=kind)
+
+    return files.select("path", "ext", "content").mapInArrow(run, ROW)
 
 
 def symbols_of(rows: DataFrame) -> DataFrame:
