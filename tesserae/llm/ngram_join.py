@@ -141,7 +141,7 @@ def roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = low
 
 
-def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, trees: int = 24, longest: int = 5, block: int = 2048, block_shingles: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, trees: int = 24, longest: int = 5, block: int = 2048, block_shingles: int = 3_000_000, small: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, class_id, n_links`` for each row: the least id among the documents that links join it with, and the
     number of documents it is linked with (copies count)."""
     ratio = Fraction(threshold).limit_denominator(1000)
@@ -189,7 +189,11 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
                 part = part[[set_key(s) == key for s, key in zip(sets, part["key"], strict=True)]]  # ids may repeat
                 yield part[["cid", "copies", "root", "blocks", "set"]]
 
-    texts = rows.join(members.withColumnRenamed("first", "i"), "i").select("t", "key", "cid", "copies", "root", "blocks")
+    # texts of other documents needn't be sent anywhere: their ids are filtered out first, if the wanted ones are
+    # counted to be few enough to be sent to them
+    ids = members.select(F.col("first").alias("i")).distinct()
+    near = rows.join(F.broadcast(ids), "i", "left_semi") if (wanted["n"] or 0) <= small else rows
+    texts = near.join(members.withColumnRenamed("first", "i"), "i").select("t", "key", "cid", "copies", "root", "blocks")
     sets = texts.mapInPandas(sets_of, "cid long, copies long, root long, blocks int, set binary")
     dealt = sets.select("cid", "copies", "root", "blocks", "set", F.explode(tiles).alias("at")).select("cid", "copies", "root", "blocks", "set", "at.tile", "at.x", "at.y", "at.left")
 
