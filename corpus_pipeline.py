@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 from tesserae.llm import language_id, line_dedup, mixing, ngram_join, pieces, toxicity
 from tesserae.storage import cut
 
+def plain(docs: DataFrame) -> tuple[DataFrame, list]:
+    """``docs`` with columns that nothing clashes with, the id as ``id``, and what gives them their names back."""
+    names = {c: "id" if c == "doc_id" else f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(c).alias(to) for c, to in names.items()]), [F.col(to).alias(c) for c, to in names.items()]
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -22,9 +28,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go. The model learns from the labels that op6 learns from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(language_id.fold("doc_id", 5) != 0))
-    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that no column of docs clashes with the score's
-    scored = toxicity.score(docs, model, keep=names, evidence=False)
-    return scored.where("predicted = 0").select(*[F.col(to).alias(c) for c, to in names.items()])
+    rows, back = plain(docs)
+    text = f"c{docs.columns.index('text')}"
+    scored = toxicity.score(rows, model, text_col=text, keep=tuple(rows.columns), evidence=False)
+    return scored.where("predicted = 0").select(*back)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,16 +43,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of documents joined by links (five words, similarity 0.8) the one of least id stays; of its rows, one."""
     groups = ngram_join.join(docs, n=5, threshold=0.8)
     stay = cut(groups.where("doc_id <=> class_id").select("doc_id").distinct(), "pipeline-stay")
-    kept = docs.join(stay.withColumnRenamed("doc_id", "_stays"), F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    rows, back = plain(docs)
+    kept = rows.join(stay.withColumnRenamed("doc_id", "stays"), F.col("id").eqNullSafe(F.col("stays")), "left_semi")
+    return kept.dropDuplicates(["id"]).select(*back)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources weigh 5, 2, 1, repeating, and share 1.5 times all words; a row for each copy."""
     mixed = mixing.mix(docs, weights=(5, 2, 1), share=1.5, ceiling=2)
-    copies = cut(mixed.groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_id"), "pipeline-copies")
-    both = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    copies = cut(mixed.groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0"), "pipeline-copies")
+    rows, back = plain(docs)
+    both = rows.join(copies, F.col("id").eqNullSafe(F.col("doc_id")))
+    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*back)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,7 +68,7 @@ def tilts(histogram: DataFrame, wanted: DataFrame, ceiling: float, rounds: int =
         words = F.col("size") * F.col("n") * F.exp(x)
         whole = lambda c: F.sum(F.round(c * 1024).cast("decimal(38,0)")).cast("double") / 1024  # noqa: E731  a sum that doesn't depend on the order
         sums = histogram.join(F.broadcast(state.select("sid", "tilt", "mean")), "sid").groupBy("sid").agg(whole(words).alias("f"), whole(F.when(F.col("tilt") * z < cap, words * z).otherwise(0.0)).alias("g"))
-        step = F.col("tilt") - F.log(F.col("f") / F.col("target")) * F.col("f") / F.col("g")
+        step = F.col("tilt") - F.try_divide(F.log(F.try_divide("f", "target")) * F.col("f"), F.col("g"))
         lo = F.when(F.col("f") < F.col("target"), F.col("tilt")).otherwise(F.col("lo"))
         hi = F.when(F.col("f") >= F.col("target"), F.col("tilt")).otherwise(F.col("hi"))
         near = F.abs(F.col("f") - F.col("target")) <= tolerance * F.col("target") + 0.01
