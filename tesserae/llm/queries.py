@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import fingerprint, language_id, line_dedup, mixing, ngram_join, pieces, pii, quality, sharding, toxicity
+from tesserae.llm import fingerprint, language_id, line_dedup, mixing, ngram_join, oracles, pieces, pii, quality, sharding, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": oracles.LINE_DEDUP, "op7_ngram_join": oracles.NGRAM_JOIN, "op8_fingerprints": oracles.FINGERPRINTS}
