@@ -66,3 +66,33 @@ SELECT e.doc_id, e.n::bigint AS n_chars, sha256(e.e) AS edited_sha256, {_MARK.fo
 array_to_string(list_filter(list_transform(own.secs, lambda h, i: CASE WHEN coalesce(edit.secs[i] <> h, true) THEN i - 1 END), lambda i: i IS NOT NULL), ',') AS edited_sections
 FROM e JOIN own ON own.doc_id = e.doc_id JOIN edit ON edit.doc_id = e.doc_id JOIN own other ON other.doc_id = e.next_id
 """
+
+_PART = "(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END)"
+
+QUALITY = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, lang AS l, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w,
+  list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}]+'), lambda x: x <> '') AS a FROM documents),
+tri AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS k, w FROM d WHERE len(w) >= 4),
+win AS (SELECT doc_id, k, w[k] || chr(1) || w[k + 1] || chr(1) || w[k + 2] AS x FROM tri),
+twice AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, x) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS j FROM twice) GROUP BY doc_id),
+base AS (SELECT doc_id, l, t, w, a, len(w)::bigint AS n_words, length(array_to_string(w, ''))::bigint AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint AS n_symbols,
+  (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {WORDS}))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {WORDS})))))::bigint AS n_dup_lines,
+  coalesce(rep.n, 0)::bigint AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id)),
+sized AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, length(t) - word_chars AS c1, len(regexp_extract_all(t, '\\p{{Lu}}')) AS c2, length(array_to_string(a, '')) AS letters,
+  length(t) - length(translate(t, '0123456789', '')) AS c4, length(t) - length(translate(t, '.,;:''"()-!?', '')) AS c5 FROM base),
+cls AS MATERIALIZED (SELECT *, list_transform([c1, c2, letters - c2, c4, c5, word_chars - letters - c4 - c5], lambda x: x::double / greatest(1.0, length(t))) AS c FROM sized),
+ref AS MATERIALIZED (SELECT l, [avg(c[1]), avg(c[2]), avg(c[3]), avg(c[4]), avg(c[5]), avg(c[6])] AS r FROM cls WHERE NOT base_failed AND l IS NOT NULL GROUP BY l),
+spoken AS (SELECT l, unnest(a) AS w FROM d WHERE l IS NOT NULL),
+counted AS (SELECT l, w, count(*) AS n FROM spoken GROUP BY l, w),
+best AS (SELECT l, w, n::double / sum(n) OVER (PARTITION BY l) AS q, row_number() OVER (PARTITION BY l ORDER BY n DESC, w) AS k FROM counted),
+top AS MATERIALIZED (SELECT l, w, q FROM best WHERE k <= 40),
+alls AS (SELECT l, sum(q) AS all_of FROM top GROUP BY l),
+own AS (SELECT doc_id, l, w, count(*) / greatest(1.0::double, max(m)) AS p FROM (SELECT doc_id, l, unnest(a) AS w, len(a) AS m FROM d) GROUP BY doc_id, l, w),
+met AS (SELECT doc_id, sum(p) AS said, sum(q) AS there, sum({_PART.format(p='p', q='q')}) AS parts FROM own JOIN top USING (l, w) GROUP BY doc_id),
+dist AS (SELECT cls.*, sqrt(greatest(0, list_sum(list_transform(range(1, 7), lambda k: {_PART.format(p='c[k]', q='r[k]')})) / 2)) AS cd,
+  sqrt(greatest(0, (coalesce(parts, 0) + {_PART.format(p='(1 - coalesce(said, 0))', q='(1 - all_of)')} + all_of - coalesce(there, 0)) / 2)) AS wd
+  FROM cls LEFT JOIN ref USING (l) LEFT JOIN alls USING (l) LEFT JOIN met USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+NOT base_failed AND NOT coalesce(cd > 0.12 + 2.5 / sqrt(greatest(word_chars, 1)) OR wd > 0.25 + 2.0 / sqrt(greatest(n_words, 1)), false) AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM dist
+"""
