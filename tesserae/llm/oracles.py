@@ -96,3 +96,57 @@ dist AS (SELECT cls.*, sqrt(greatest(0, list_sum(list_transform(range(1, 7), lam
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
 NOT base_failed AND NOT coalesce(cd > 0.12 + 2.5 / sqrt(greatest(word_chars, 1)) OR wd > 0.25 + 2.0 / sqrt(greatest(n_words, 1)), false) AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM dist
 """
+
+_KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_VALID = {
+    "email": "true",
+    "ip": "list_max(list_transform(string_split(v, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 ELSE coalesce(try_cast(x AS int), 0) END)) <= 255",
+    "card": f"length({_DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 0 THEN CASE WHEN reverse({_DIGITS})[i]::int > 4 THEN 2 * reverse({_DIGITS})[i]::int - 9 ELSE 2 * reverse({_DIGITS})[i]::int END ELSE reverse({_DIGITS})[i]::int END)) % 10 = 0",
+    "phone": f"length({_DIGITS}) BETWEEN 9 AND 15",
+}
+
+
+def _spans(name: str, source: str) -> str:
+    """A relation: id, start, rank, stop, kind, v of every match in ``source`` (id, t)."""
+    parts = []
+    for rank, (kind, pattern) in enumerate(_KINDS.items()):
+        runs = f"SELECT id, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM {source} WHERE regexp_matches(t, '{pattern}')"
+        each = f"SELECT id, unnest(range(1, len(m) + 1)) AS i, m, list_transform(m, lambda x: length(x)) AS lm, list_transform(g, lambda x: length(x)) AS lg FROM ({runs})"
+        placed = f"SELECT id, (list_sum(lg[1:i]) + coalesce(list_sum(lm[1:i - 1]), 0))::int AS start, m[i] AS v FROM ({each})"
+        parts.append(f"SELECT id, start, {rank} AS rank, (start + length(v))::int AS stop, '{kind}' AS kind, v FROM ({placed}) WHERE {_VALID[kind]}")
+    return f"{name} AS MATERIALIZED ({' UNION ALL '.join(parts)})"
+
+
+_TERMS = "list_filter(list_distinct(string_split_regex(lower({t}), '[^\\p{{L}}]+')), lambda w: length(w) >= 4)"
+_SAID = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop), '')"
+
+PII = f"""
+WITH d AS MATERIALIZED (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents),
+{_spans('base', 'd')},
+cells AS MATERIALIZED (SELECT row_number() OVER () AS id, whole, t FROM (SELECT t AS whole, unnest(string_split(t, chr(10))) AS t FROM d WHERE id IN (SELECT id FROM base))),
+{_spans('marks', 'cells')},
+near AS MATERIALIZED (SELECT whole, cells.id, list_distinct(list(kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN {_DIGITS} ELSE lower(v) END)) AS entities, {_TERMS.format(t="list_reduce(list_prepend(any_value(t), list(v ORDER BY start, rank)), lambda a, x: replace(a, x, ' '))")} AS w
+  FROM marks JOIN cells USING (id) GROUP BY whole, cells.id),
+pairs AS (SELECT DISTINCT whole, entity, unnest(w) AS term FROM (SELECT whole, w, unnest(entities) AS entity FROM near)),
+joint AS (SELECT entity, term, count(*)::double AS n FROM pairs GROUP BY ALL HAVING count(*) >= 3),
+own AS (SELECT entity, count(DISTINCT whole)::double AS n FROM (SELECT whole, unnest(entities) AS entity FROM near) GROUP BY entity),
+has AS MATERIALIZED (SELECT id, t, term FROM (SELECT id, t, unnest({_TERMS.format(t='t')}) AS term FROM d) WHERE term IN (SELECT term FROM joint)),
+freq AS (SELECT term, count(DISTINCT t)::double AS n FROM has GROUP BY term),
+size AS (SELECT count(DISTINCT t)::double AS n FROM d),
+told AS (SELECT DISTINCT term FROM joint JOIN own USING (entity) JOIN freq USING (term) CROSS JOIN size WHERE own.n < size.n AND log2(joint.n * size.n / (freq.n * own.n)) >= 0.9 * log2(size.n / own.n)),
+hit AS (SELECT id, t, list(term) AS terms FROM has WHERE term IN (SELECT term FROM told) GROUP BY id, t),
+runs AS (SELECT id, terms, unnest(regexp_extract_all(t, '\\p{{L}}+')) AS v, unnest(string_split_regex(t, '\\p{{L}}+')[1:len(regexp_extract_all(t, '\\p{{L}}+'))]) AS g, generate_subscripts(regexp_extract_all(t, '\\p{{L}}+'), 1) AS i FROM hit),
+found AS (SELECT id, terms, v, (sum(length(g) + length(v)) OVER (PARTITION BY id ORDER BY i))::int AS stop FROM runs),
+extra AS (SELECT id, stop - length(v) AS start, 4 AS rank, stop, 'term' AS kind, v FROM found WHERE list_contains(terms, lower(v))
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.id = found.id AND b.start < found.stop AND found.stop - length(found.v) < b.stop)),
+counts AS (SELECT id, count(*) FILTER (kind = 'email') AS e, count(*) FILTER (kind = 'ip') AS i, count(*) FILTER (kind = 'card') AS c, count(*) FILTER (kind = 'phone') AS p, {_SAID} AS said FROM base GROUP BY id),
+whole AS (SELECT id, {_SAID} AS said, count(*) FILTER (kind = 'term') AS n FROM (SELECT id, start, rank, stop, kind FROM base UNION ALL SELECT id, start, rank, stop, kind FROM extra) GROUP BY id)
+SELECT d.id AS doc_id, coalesce(e, 0)::bigint AS n_email, coalesce(i, 0)::bigint AS n_ip, coalesce(c, 0)::bigint AS n_card, coalesce(p, 0)::bigint AS n_phone, sha256(coalesce(counts.said, '')) AS base_sha256, coalesce(whole.said, '') AS spans, coalesce(n, 0)::bigint AS n_term
+FROM d LEFT JOIN counts USING (id) LEFT JOIN whole USING (id)
+"""

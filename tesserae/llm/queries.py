@@ -84,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": oracles.QUALITY, "op4_line_dedup": oracles.LINE_DEDUP, "op7_ngram_join": oracles.NGRAM_JOIN, "op8_fingerprints": oracles.FINGERPRINTS}
+    return {"op1_pii": oracles.PII, "op3_quality": oracles.QUALITY, "op4_line_dedup": oracles.LINE_DEDUP, "op7_ngram_join": oracles.NGRAM_JOIN, "op8_fingerprints": oracles.FINGERPRINTS}
