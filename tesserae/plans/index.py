@@ -31,16 +31,16 @@ class CodeIndex:
         return self.tables["call_edges"].select("src", "dst").unionByName(self.tables["xfile_edges"].select("src", "dst"))
 
     def who_calls(self, symbol: str, depth: int = 1) -> DataFrame:
-        return traverse.who_calls(self.edges(), symbol, depth).orderBy("symbol")
+        return traverse.who_calls(self.edges(), symbol, depth, stored=True).orderBy("symbol")
 
     def blast_radius(self, symbol: str, max_depth: int = 3) -> DataFrame:
-        return traverse.blast_radius(self.edges(), symbol, max_depth).orderBy("depth", "symbol")
+        return traverse.blast_radius(self.edges(), symbol, max_depth, stored=True).orderBy("depth", "symbol")
 
     def dead_code(self) -> DataFrame:
         return graphs.dead_symbols(self.tables["symbols"], self.tables["call_edges"], self.tables["xfile_edges"]).orderBy("symbol")
 
     def dependency_chain(self, path: str, max_depth: int = 5) -> DataFrame:
-        return traverse.dependency_chain(self.tables["dep_edges"], path, max_depth).orderBy("depth", "target")
+        return traverse.dependency_chain(self.tables["dep_edges"], path, max_depth, stored=True).orderBy("depth", "target")
 
     def search_symbols(self, pattern: str, max_results: int = 50) -> DataFrame:
         order = self.tables["files"].select("path", F.col("ord").alias("file_ord"))
