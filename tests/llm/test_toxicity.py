@@ -57,7 +57,7 @@ def test_held_out_quality(tables, model):
 
 
 def test_odd_rows(odd, empty, model):
-    got = X.score(odd, model, keep=("doc_id", "score")).drop("score") if False else X.score(odd, model).collect()
+    got = X.score(odd, model).collect()
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] == 0 for r in got)
     assert X.score(empty, model).count() == 0
 
