@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 import sys
 from pathlib import Path
 
@@ -18,6 +19,21 @@ def find_index(start: str = ".") -> Path | None:
     return next((p / NAME for p in (here, *here.parents) if (p / NAME).is_file()), None)
 
 
+# Sizes in thousands of tokens, by default, least, and most for use here and elsewhere.
+SIZE_K, LEAST_K, MOST_K, MOST_ELSEWHERE_K = 50, 1, 100, 800
+
+
+def size_flag(prompt: str, remembered: int | None = None) -> tuple[int | None, bool | None, str]:
+    """The size that ``-i`` or ``-ic`` in a prompt asks for, whether it is for use elsewhere (c), and the prompt without
+    the flag. Without a number ``-i`` takes the remembered size."""
+    m = re.search(r"-i(c?)(\d+)?(?:\s|$)", prompt)
+    if not m:
+        return None, None, prompt
+    elsewhere = m[1] == "c"
+    size = int(m[2]) if m[2] else SIZE_K if elsewhere else remembered or SIZE_K
+    return min(max(size, LEAST_K), MOST_ELSEWHERE_K if elsewhere else MOST_K), elsewhere, re.sub(r"-ic?\d*\s*", "", prompt).strip()
+
+
 def arguments() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tesserae")
     sub = top.add_subparsers(dest="command", required=True)
@@ -68,9 +84,8 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     spark = SparkSession.builder.appName("tesserae").getOrCreate()
     if args.command == "build":
-        limit = args.size_k * 1000 * 4 if args.size_k else dense.fixed.MAX_INDEX_SIZE
-        out = dense.export(build(spark, args.root), str(Path(args.root) / NAME), args.root, limit)
-        print(json.dumps(out["stats"], indent=2))
+        out = dense.export(build(spark, args.root), str(Path(args.root) / NAME), args.root, target_k=args.size_k)
+        print("\n".join(dense.summary(out)))
         return 0
     said = answer(dense.read_json(spark, str(find_index())), args)
     if said is None:

@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ["root", "path"]
 
 
+SNAPSHOT = "root string, path string, mtime double, size long, content_hash string, lang string, parse_result string, tool_version string, indexed_at double"
+
+
+def open_snapshot(spark: SparkSession, path: str, tool_version: str) -> DataFrame:
+    """The rows of this version; none where there is no snapshot or it can't be read. Its first rows are read here, so
+    a broken file is found now and not in the middle of a build."""
+    try:
+        found = spark.read.schema(SNAPSHOT).parquet(path)
+        found.limit(1).collect()
+    except (AnalysisException, Py4JJavaError, PySparkException):
+        return spark.createDataFrame([], SNAPSHOT)
+    return found.where(F.col("tool_version") == tool_version)
+
+
 def dirty_files(current: DataFrame, cached: DataFrame, tool_version: str) -> DataFrame:
     """``root, path, dirty, refresh`` of the current files. Two tiers: where time and size agree with the snapshot a
     file is clean and its hash isn't looked at; else it is clean, to be refreshed, if the hashes agree.

@@ -134,3 +134,34 @@ def test_stream_of_file_states(spark, tmp_path):
     last = max(int(p.name.split("=")[1]) for p in snapshot.iterdir())
     got = {(r["path"], r["content_hash"]) for r in spark.read.parquet(f"{snapshot}/v={last}").collect()}
     assert got == {("a", "h4"), ("b", "h2"), ("c", "h5")}
+
+
+def test_size_flag():
+    assert cli.size_flag("fix it") == (None, None, "fix it")
+    assert cli.size_flag("fix it -i") == (50, False, "fix it")
+    assert cli.size_flag("-i fix it", 70) == (70, False, "fix it")
+    assert cli.size_flag("fix -i250 it") == (100, False, "fix it")
+    assert cli.size_flag("fix -ic900 it") == (800, True, "fix it")
+    assert cli.size_flag("fix -ic it", 70) == (50, True, "fix it")
+    assert cli.size_flag("fix -i0 it")[0] == 1
+
+
+def test_meta_and_summary(index, tmp_path):
+    out = dense.export(index, str(tmp_path / "x.json"), ".", target_k=60)
+    assert out["_meta"]["target_size_k"] == 60 == out["_meta"]["last_interactive_size_k"]
+    assert len(out["_meta"]["files_hash"]) == 16 and "symbol_importance" in out["_meta"]
+    assert "4 python files parsed" in dense.summary(out)
+    assert len(dense.summary({"stats": {"total_files": 0}})) == 1
+
+
+def test_snapshot_that_cannot_be_read(spark, tmp_path):
+    from tesserae.operators import incremental
+
+    assert incremental.open_snapshot(spark, str(tmp_path / "none"), "1").count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part.parquet").write_text("not parquet")
+    assert incremental.open_snapshot(spark, str(tmp_path / "bad"), "1").count() == 0
+    row = ("r", "p", 1.0, 1, "h", "python", "{}", "1", 2.0)
+    spark.createDataFrame([row], incremental.SNAPSHOT).write.parquet(str(tmp_path / "good"))
+    assert incremental.open_snapshot(spark, str(tmp_path / "good"), "1").count() == 1
+    assert incremental.open_snapshot(spark, str(tmp_path / "good"), "2").count() == 0
