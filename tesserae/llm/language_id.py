@@ -14,6 +14,7 @@ rows get equal results, empty tables give an empty table, and without any traini
 
 from __future__ import annotations
 
+import copy
 import re
 import zlib
 
@@ -171,7 +172,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
-        m = shared.value
+        m = copy.copy(shared.value)  # what it remembers of words ends with the task
+        m.clear()
 
         def work(texts: list[str | None]) -> list[list]:
             said, score = [], []

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.graph import components
-from tesserae.llm.texts import map_texts
+from tesserae.llm.texts import map_texts, release
 from tesserae.storage import cut
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -173,7 +173,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     extent = extent.select("root", F.greatest(F.ceil(F.col("many") / block), F.ceil(F.col("shingles") / block_shingles)).cast("int").alias("blocks"))
     members = cut(members.join(extent, "root"), "forest-members")
     wanted = members.agg(F.count("*").alias("n"), F.sum("size").alias("s")).first()
-    bins = max(1, (wanted["s"] or 0) // 1_000_000)
+    bins = max(1, (wanted["s"] or 0) // 500_000)
     # a group of one block shares a tile with other such groups; a larger one has a tile for each pair of its blocks
     own = F.pmod(F.xxhash64("cid", F.lit("block")), F.col("blocks")).cast("int")
     tiles = F.when(F.col("blocks") == 1, F.array(F.struct(F.pmod(F.xxhash64("root"), F.lit(bins)).alias("tile"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(True).alias("left")))).otherwise(
@@ -188,6 +188,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
                 part["set"] = [s.tobytes() for s in sets]
                 part = part[[set_key(s) == key for s, key in zip(sets, part["key"], strict=True)]]  # ids may repeat
                 yield part[["cid", "copies", "root", "blocks", "set"]]
+        release()
 
     # texts of other documents needn't be sent anywhere: their ids are filtered out first, if the wanted ones are
     # counted to be few enough to be sent to them
@@ -205,6 +206,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
             copies, cid = g["copies"].to_numpy(), g["cid"].to_numpy()
             links = np.bincount(i, weights=copies[j], minlength=len(g)) + np.bincount(j, weights=copies[i], minlength=len(g))
             out.append(pd.DataFrame({"cid": cid, "links": links.astype("int64"), "to": cid[roots(len(g), i, j)], "large": g["blocks"].to_numpy() > 1}))
+        release()
         return pd.concat(out)
 
     verified = cut(dealt.groupBy("tile").applyInPandas(verify, "cid long, links long, to long, large boolean"), "forest-links")

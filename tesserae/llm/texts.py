@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +14,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 
-def map_texts(docs: DataFrame, keep: dict[str, str], text_col: str, made: str, start: Callable[[], Callable[[list[str | None]], list[list]]], rows: int = 1000) -> DataFrame:
+#: What forgets what an operator keeps in a Python worker beyond a task, by the operator's name.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def map_texts(docs: DataFrame, keep: dict[str, str], text_col: str, made: str, start: Callable[[], Callable[[list[str | None]], list[list]]], rows: int = 1000, owner: str = "") -> DataFrame:
     """The ``keep`` columns (name to name in the result), untouched, and the columns of the DDL ``made``.
 
     ``start()`` runs once in each task and gives the function that turns a list of texts into one list of values for
@@ -20,14 +27,32 @@ def map_texts(docs: DataFrame, keep: dict[str, str], text_col: str, made: str, s
     kept = [StructField(to, docs.schema[name].dataType, True) for name, to in keep.items()]
     types = [f.type for f in to_arrow_schema(new)]
     names = [*keep.values(), *new.names]
-    slim = docs.select(*[F.col(name).alias(f"_k{i}") for i, name in enumerate(keep)], F.col(text_col).alias("_text"))
+    place = list(keep).index(text_col) if text_col in keep else len(keep)
+    slim = docs.select(*[F.col(name).alias(f"_k{i}") for i, name in enumerate(keep)], *([] if text_col in keep else [F.col(text_col).alias("_text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(owner)
         work = start()
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                values = work(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(v, t) for v, t in zip(values, types, strict=True))], names)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    part = batch.slice(at, rows)
+                    values = work(part.column(place).to_pylist())
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(v, t) for v, t in zip(values, types, strict=True))], names)
+        finally:
+            del work
+            release(owner)
 
     return slim.mapInArrow(run, StructType([*kept, *new.fields]))
+
+
+def release(owner: str = "") -> None:
+    """Give memory that a task no longer needs back to the system, with what operators other than ``owner`` keep: a
+    Python worker outlives a task and serves others."""
+    for name, forget in KEPT.items():
+        if name != owner:
+            forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)

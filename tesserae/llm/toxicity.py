@@ -16,6 +16,7 @@ score alike; an empty table gives an empty table; without any example every scor
 
 from __future__ import annotations
 
+import copy
 import math
 import re
 from collections import Counter
@@ -245,7 +246,9 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: t
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
-        m = shared.value
+        m = copy.copy(shared.value)  # what it remembers of words and vectors ends with the task
+        m.memo, m.terms = {}, copy.copy(m.terms)
+        m.terms.memo = {}
 
         def work(texts: list[str | None]) -> list[list]:
             found = [m.score(t) for t in texts]
