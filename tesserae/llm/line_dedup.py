@@ -10,8 +10,9 @@ similarity of at least ``threshold`` with it. Lines of fewer than ``min_words``
 3. Two sets above the threshold share a word among the rarest ``n - ceil(threshold * n) + 1`` of each (prefix filter).
    Pairs that share one are tested by length, by the word's positions, and by the number of differing bits of parity
    bitmaps, which is at most the size of the symmetric difference. What is left is verified on the words themselves.
-4. So that many variants of one line aren't all paired with each other, each class is first held against the earliest
-   class of each of its prefix words; only classes without a match there are then held against all earlier ones.
+4. So that many variants of one line aren't all paired with each other, of prefix words with more than ``few`` classes
+   each class is first held against the word's earliest class only; classes without a match are then held against
+   all earlier ones.
 5. Sets of fewer than eight words match at most sets with one word more or less; these are found by the sets' hashes,
    with each word left out in turn, as their prefixes would be common words.
 
@@ -74,7 +75,7 @@ def matches(pairs: DataFrame, lines: DataFrame, threshold: float, small: int) ->
     return both.where(shared >= at_least(F.size("sx"), F.size("sy"), threshold)).select("x", "y")
 
 
-def removed_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 3, bits: int = 22, small: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 3, bits: int = 22, few: int = 512, small: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``i, h, lines``: for each document (id and hash of text) its removed lines' numbers from 0, and how they match."""
     if not 0.8 <= threshold <= 1:
         raise ValueError("thresholds from 0.8 on are supported")
@@ -88,57 +89,71 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 3, b
     cells = texts.select("i", F.xxhash64("t").alias("h"), F.posexplode(F.split("t", "\n")).alias("p", "line")).select("i", "h", "p", place.alias("o"), "line")
 
     counters = sketch(texts, bits)
-    hashed = cells.where(F.btrim("line", F.lit(SPACES)) != "").select("i", "h", "p", "o", hashes(F.col("line")).alias("s")).where(F.size("s") >= min_words)
-    n = F.size("s")
-    rank = lambda c, h: F.shiftleft(F.get(c, h.bitwiseAND((1 << bits) - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    # the sketch stays a subquery's value: it is bound to a lambda's argument, never a column of rows that are copied
-    ordered = F.transform(F.array("sketch"), lambda c: F.sort_array(F.transform(F.col("s"), lambda h: rank(c, h))))[0]
-    size = (n - F.ceil(threshold * n - 1e-9) + 1).cast("int")
-    bitmap = F.aggregate("s", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))))
     once = F.lit(1 << 56)
-    lines = hashed.withColumn("sketch", counters.scalar()).select(
-        "i", "h", "p", "o", n.alias("n"), bitmap.alias("b"), F.xxhash64(F.sort_array("s")).alias("c1"), F.xxhash64(F.lit(1), F.sort_array("s")).alias("c2"),
-        F.when(n >= LEAST, F.slice(ordered, F.lit(1), size)).alias("a"), F.when(n <= LEAST, F.sort_array("s")).alias("few"),
-    )
-    lines = lines.withColumn("skip", F.coalesce(F.size(F.filter("a", lambda k: k < once)), F.lit(0))).withColumn("a", F.filter("a", lambda k: k >= once))
-    lines = cut(lines, "lines")
-
-    classes = cut(lines.groupBy("c1", "c2").agg(F.min("o").alias("o"), F.count("*").alias("many")), "lines-classes")
-    again = lines.join(classes.where("many > 1").withColumnRenamed("o", "first"), ["c1", "c2"]).where("o > first").select("i", "h", "p", F.lit("exact").alias("how"))
-
-    prefix = lines.where(F.size("a") > 0).select("c1", "c2", "n", "b", "o", "skip", F.posexplode("a").alias("k", "w")).groupBy("w", "c1", "c2").agg(F.min("o").alias("o"), F.first("n").alias("n"), F.first(F.col("skip") + F.col("k")).alias("p"), F.first("b").alias("b")).drop("c1", "c2")
-    prefix = cut(prefix, "lines-prefix")
-    hubs = prefix.groupBy("w").agg(F.min("o").alias("y"), F.min_by("n", "o").alias("ny"), F.min_by("p", "o").alias("py"), F.min_by("b", "o").alias("by"), F.count("*").alias("many")).where("many > 1")
-    row = lambda end: {"n": F.col(f"n{end}"), "p": F.col(f"p{end}"), "b": F.col(f"b{end}")}
-    first = prefix.join(hubs, "w").where((F.col("o") > F.col("y")) & near(row(""), row("y"), threshold)).select(F.col("o").alias("x"), "y").distinct()
-    matched = cut(matches(cut(first, "lines-first"), cells, threshold, small), "lines-matched")
+    rank = lambda c, h: F.shiftleft(F.get(c, h.bitwiseAND((1 << bits) - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    shared = prefix.join(hubs.where("many > 2").select("w"), "w", "left_semi")
-    later = shared.join(matched.select(F.col("x").alias("o")).distinct(), "o", "left_anti").select("w", F.col("o").alias("x"), F.col("n").alias("nx"), F.col("p").alias("px"), F.col("b").alias("bx"))
-    rest = later.join(shared.select("w", F.col("o").alias("y"), F.col("n").alias("ny"), F.col("p").alias("py"), F.col("b").alias("by")), "w")
-    rest = rest.where((F.col("y") < F.col("x")) & near(row("x"), row("y"), threshold)).select("x", "y").distinct()
+    def told(x: Column) -> Column:
+        s, n = x["s"], F.size(x["s"])
+        size = (n - F.ceil(threshold * n - 1e-9) + 1).cast("int")
+        bitmap = F.aggregate(s, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))))
+        rare = F.slice(F.sort_array(F.transform(s, lambda h: rank(x["c"], h))), F.lit(1), size)
+        prefix = F.when(n >= LEAST, let(rare, lambda r: F.struct(F.transform(F.filter(r, lambda k: k >= once), lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int")).alias("a"), F.size(F.filter(r, lambda k: k < once)).alias("skip"))))
+        return F.struct(n.alias("n"), bitmap.alias("b"), F.xxhash64(s).alias("c1"), F.xxhash64(F.lit(1), s).alias("c2"), prefix.alias("x"), F.when(n <= LEAST, s).alias("few"))
+
+    # The sketch stays a subquery's value. Were it a column that some operator hands on, every line's row would hold a
+    # copy; so it is named once, within one expression, and this expression also holds all else that needs the words.
+    packed = cells.withColumn("sketch", counters.scalar()).select("i", "h", "p", "o", let(F.struct(F.sort_array(hashes(F.col("line"))).alias("s"), F.col("sketch").alias("c")), told).alias("t"))
+    lines = packed.select("i", "h", "p", "o", "t.n", "t.b", "t.c1", "t.c2", F.coalesce("t.x.a", F.array().cast("array<int>")).alias("a"), F.coalesce("t.x.skip", F.lit(0)).alias("skip"), "t.few")
+    lines = cut(lines, "lines").where(F.col("n") >= min_words)
+
+    classes = lines.groupBy("c1", "c2").agg(F.min("o").alias("first"), F.count("*").alias("many")).where("many > 1")
+    again = cut(lines.select("i", "h", "p", "o", "c1", "c2").join(classes, ["c1", "c2"]).where("o > first").select("i", "h", "p", "o"), "lines-again")
+    copies = again.select("o")
+    first = lines.join(F.broadcast(copies) if again.count() <= small else copies, "o", "left_anti")
+
+    # Of prefix words with at most `few` classes all pairs are tested; the rows of more common words are kept apart for
+    # the two steps below, which pair no group in full, and aren't sent anywhere before they are told apart.
+    common = cut(first.select(F.explode("a").alias("w")).groupBy("w").agg(F.count("*").alias("many")).where(F.col("many") > few).select("w"), "lines-common")
+    common = F.broadcast(common) if common.count() <= small else common
+    prefix = first.where(F.size("a") > 0).select("o", "n", "b", "skip", F.posexplode("a").alias("k", "w")).select("w", "o", "n", (F.col("skip") + F.col("k")).alias("p"), "b")
+    row = lambda end: {"n": F.col(f"n{end}"), "p": F.col(f"p{end}"), "b": F.col(f"b{end}")}
+    named = lambda df, end: df.select("w", *[F.col(c).alias(c + end) for c in ("o", "n", "p", "b")])
+    rare = prefix.join(common, "w", "left_anti")
+    met = named(rare, "x").join(named(rare, "y"), "w").where((F.col("oy") < F.col("ox")) & near(row("x"), row("y"), threshold)).select(F.col("ox").alias("x"), F.col("oy").alias("y"))
+    shared = cut(prefix.join(common, "w", "left_semi"), "lines-shared")
+    hubs = shared.groupBy("w").agg(F.min("o").alias("oy"), F.min_by("n", "o").alias("ny"), F.min_by("p", "o").alias("py"), F.min_by("b", "o").alias("by"))
+    early = named(shared, "x").join(hubs, "w").where((F.col("ox") > F.col("oy")) & near(row("x"), row("y"), threshold)).select(F.col("ox").alias("x"), F.col("oy").alias("y"))
+    pairs = met.unionByName(early).distinct()
+    matched = cut(matches(cut(pairs, "lines-pairs"), cells, threshold, small), "lines-matched")
+
+    later = named(shared, "x").join(matched.select(F.col("x").alias("ox")).distinct(), "ox", "left_anti")
+    rest = later.join(named(shared, "y"), "w").where((F.col("oy") < F.col("ox")) & near(row("x"), row("y"), threshold)).select(F.col("ox").alias("x"), F.col("oy").alias("y")).distinct()
     more = matches(cut(rest, "lines-rest"), cells, threshold, small)
 
     # sets of under eight words: one is the other and one more
-    short = lines.where(F.col("n").between(4, LEAST - 1)).groupBy("c1", "c2").agg(F.min("o").alias("o"), F.first("few").alias("few"))
-    longer = lines.where(F.col("n").between(5, LEAST)).groupBy("c1", "c2").agg(F.min("o").alias("o"), F.first("few").alias("few"))
+    short = first.where(F.col("n").between(4, LEAST - 1)).select("c1", "c2", "o")
+    longer = first.where(F.col("n").between(5, LEAST)).select("o", "few")
     less = longer.select("o", "few", F.explode("few").alias("w")).select("o", F.array_remove("few", F.col("w")).alias("few")).select(F.xxhash64("few").alias("c1"), F.xxhash64(F.lit(1), "few").alias("c2"), F.col("o").alias("long"))
-    within = less.join(short.select("c1", "c2", "o"), ["c1", "c2"]).select(F.greatest("o", "long").alias("x"))
+    within = less.join(short, ["c1", "c2"]).select(F.greatest("o", "long").alias("x"))
 
     gone = matched.select("x").unionByName(more.select("x")).unionByName(within).distinct()
     close = lines.join(gone.withColumnRenamed("x", "o"), "o", "left_semi").select("i", "h", "p", F.lit("near").alias("how"))
-    every = again.unionByName(close).distinct()
+    every = again.select("i", "h", "p", F.lit("exact").alias("how")).unionByName(close).distinct()
     return every.groupBy("i", "h").agg(F.sort_array(F.collect_set("p")).alias("lines"), F.count_if(F.col("how") == "near").alias("n_near"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def dedup(docs: DataFrame, small: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with all its columns, less the removed lines of the text. Texts without a removed line stay as they
     are, nulls too."""
-    gone = cut(removed_lines(docs, id_col=id_col, text_col=text_col, **how).select(F.col("i").alias("_gone_i"), F.col("h").alias("_gone_h"), F.col("lines").alias("_gone")), "lines-gone")
-    known = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    both = known.join(gone, known[id_col].cast("long").eqNullSafe(gone["_gone_i"]) & (known["_h"] == gone["_gone_h"]), "left")
-    kept = let(F.split(text_col, "\n"), lambda a: F.concat_ws("\n", F.filter(a, lambda x, k: ~F.array_contains("_gone", k))))
-    return both.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    gone = cut(removed_lines(docs, small=small, id_col=id_col, text_col=text_col, **how).select(F.col("i").alias("_gone_i"), F.col("h").alias("_gone_h"), F.col("lines").alias("_gone")), "lines-gone")
+    gone = F.broadcast(gone) if gone.count() <= small else gone  # else texts are sent to the rows, once
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # no column can clash with the ones that are added
+    text = F.col(names[text_col])
+    known = docs.select(*[F.col(c).alias(to) for c, to in names.items()]).withColumn("_h", F.xxhash64(F.coalesce(text, F.lit(""))))
+    both = known.join(gone, F.col(names[id_col]).cast("long").eqNullSafe(F.col("_gone_i")) & (F.col("_h") == F.col("_gone_h")), "left")
+    kept = let(F.split(text, "\n"), lambda a: F.concat_ws("\n", F.filter(a, lambda x, k: ~F.array_contains("_gone", k))))
+    whole = F.when(F.col("_gone").isNull(), text).otherwise(kept)
+    return both.select(*[(whole if c == text_col else F.col(to)).alias(c) for c, to in names.items()])
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
