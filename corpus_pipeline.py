@@ -21,6 +21,11 @@ def plain(docs: DataFrame) -> tuple[DataFrame, list]:
     return docs.select(*[F.col(c).alias(to) for c, to in names.items()]), [F.col(to).alias(c) for c, to in names.items()]
 
 
+def counted(table: DataFrame, small: int = 1_000_000) -> DataFrame:
+    """A table from ``cut``, to be broadcast if it has few rows, so that texts aren't sent; else joined by shuffling."""
+    return F.broadcast(table) if table.count() <= small else table
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -40,12 +45,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by links (five words, similarity 0.8) the one of least id stays; of its rows, one."""
+    """Of documents joined by links (five words, similarity 0.8) the one of least id stays, once. Rows without an id
+    stay."""
     groups = ngram_join.join(docs, n=5, threshold=0.8)
-    stay = cut(groups.where("doc_id <=> class_id").select("doc_id").distinct(), "pipeline-stay")
+    groups = cut(groups, "pipeline-groups")
+    stay = counted(cut(groups.where("doc_id <=> class_id").select(F.col("doc_id").alias("stays")).distinct(), "pipeline-stay"))
     rows, back = plain(docs)
-    kept = rows.join(stay.withColumnRenamed("doc_id", "stays"), F.col("id").eqNullSafe(F.col("stays")), "left_semi")
-    return kept.dropDuplicates(["id"]).select(*back)
+    kept = rows.join(stay, F.col("id").eqNullSafe(F.col("stays")), "left_semi")
+    again = cut(groups.groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("n")).where("n > 1 and again is not null").select("again"), "pipeline-again")
+    if not again.isEmpty():  # only rows whose id repeats are sent anywhere
+        same = F.col("id").eqNullSafe(F.col("again"))
+        kept = kept.join(counted(again), same, "left_anti").unionByName(kept.join(counted(again), same, "left_semi").dropDuplicates(["id", f"c{docs.columns.index('text')}"]))
+    return kept.select(*back)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(docs, weights=(5, 2, 1), share=1.5, ceiling=2)
     copies = cut(mixed.groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0"), "pipeline-copies")
     rows, back = plain(docs)
-    both = rows.join(copies, F.col("id").eqNullSafe(F.col("doc_id")))
+    both = rows.join(counted(copies), F.col("id").eqNullSafe(F.col("doc_id")))
     return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*back)
 
 
