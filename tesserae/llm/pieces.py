@@ -20,12 +20,12 @@ import ahocorasick
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from tesserae.llm.texts import map_texts
+from tesserae.llm.texts import KEPT, map_texts
 
 #: SentencePiece writes a space as this mark.
 SPACE = "▁"
 #: Entries of each of the two generations of the memo tables; their memory is bounded by this.
-MEMO = 150_000
+MEMO = 250_000
 
 
 class Memo:
@@ -78,7 +78,7 @@ class PieceEncoder:
         self.shorter: dict[str, str | None] = {}
         own = {p for p in self.id if self.merged(p) == [p]}
         for p in own:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, len(p) - 1)
             self.shorter[p] = next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in own), None)
         self.automaton.make_automaton()
         self.pairs, self.chunks = Memo(), Memo()
@@ -123,20 +123,18 @@ class PieceEncoder:
         if text.startswith(SPACE * self.plain_run):
             return self.merged(text)
         n = len(text)
-        longest = list(text)
-        for end, piece in self.automaton.iter(text):
-            start = end + 1 - len(piece)
-            if len(piece) > len(longest[start]):
-                longest[start] = piece
+        longest = [1] * n
+        for end, more in self.automaton.iter(text):  # ends ascend, so the last match from a start is its longest
+            longest[end - more] = more + 1
         open_at, out, pos = bytearray(b"\x01") * (n + 1), [], 0
-        token = longest[0]
+        token, pairs = text[: longest[0]], self.pairs.young
         while True:
             end = pos + len(token)
-            if open_at[end] and (not out or self.compatible(out[-1], token)):
+            if open_at[end] and (not out or (pairs[out[-1], token] if (out[-1], token) in pairs else self.compatible(out[-1], token))):
                 out.append(token)
                 if end == n:
                     return out
-                pos, token = end, longest[end]
+                pos, token = end, text[end : end + longest[end]]
                 continue
             while (token := self.shorter.get(token)) is None:
                 open_at[pos] = 0
@@ -152,10 +150,10 @@ class PieceEncoder:
                 out += [self.bytes[b] for b in p.encode()]
         return out
 
-    def chunk_ids(self, chunk: str) -> tuple[list[int], str]:
+    def chunk_ids(self, chunk: str) -> tuple[tuple[int, ...], str]:
         found = self.chunks.get(chunk)
         if found is None:
-            ids = self.ids(self.tokens(chunk))
+            ids = tuple(self.ids(self.tokens(chunk)))
             found = ids, ",".join(map(str, ids))
             if len(chunk) < 100:
                 self.chunks.put(chunk, found)
@@ -165,16 +163,15 @@ class PieceEncoder:
         """The ids, and the same joined by commas."""
         if not text:
             return [], ""
+        chunks = self.chunk.findall(SPACE + text.replace(" ", SPACE))
+        parts = list(map(self.chunks.young.get, chunks))
+        if None in parts:
+            slow = self.chunk_ids
+            parts = [p or slow(c) for p, c in zip(parts, chunks, strict=True)]
         ids: list[int] = []
-        said: list[str] = []
-        young, slow = self.chunks.young, self.chunk_ids
-        for c in self.chunk.findall(SPACE + text.replace(" ", SPACE)):
-            a, b = young.get(c) or slow(c)
-            ids += a
-            said.append(b)
-            if young is not self.chunks.young:
-                young = self.chunks.young
-        return ids, ",".join(said)
+        for p in parts:
+            ids += p[0]
+        return ids, ",".join([p[1] for p in parts])
 
     def encode(self, text: str) -> list[int]:
         return self.encode_parts(text)[0]
@@ -189,6 +186,10 @@ def encoder(model_file: str) -> PieceEncoder:
     return PieceEncoder(model_file)
 
 
+# the memo tables stay from task to task, until a task of another operator runs in the worker
+KEPT["pieces"] = encoder.cache_clear
+
+
 def resolve(model: str) -> str:
     """A file's path, or the name of a file of the installed public tokenizers; looked up where it is used."""
     if "/" in model:
@@ -218,4 +219,4 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
         return work
 
-    return map_texts(docs, {id_col: id_col}, text_col, f"n_tokens long, ids_sha256 string, decoded_sha256 string{wide}", start)
+    return map_texts(docs, {id_col: id_col}, text_col, f"n_tokens long, ids_sha256 string, decoded_sha256 string{wide}", start, owner="pieces")
