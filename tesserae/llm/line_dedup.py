@@ -119,7 +119,9 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 3, b
     row = lambda end: {"n": F.col(f"n{end}"), "p": F.col(f"p{end}"), "b": F.col(f"b{end}")}
     named = lambda df, end: df.select("w", *[F.col(c).alias(c + end) for c in ("o", "n", "p", "b")])
     rare = prefix.join(common, "w", "left_anti")
-    met = named(rare, "x").join(named(rare, "y"), "w").where((F.col("oy") < F.col("ox")) & near(row("x"), row("y"), threshold)).select(F.col("ox").alias("x"), F.col("oy").alias("y"))
+    # both sides are the same plan, names included, so that its rows are sent once
+    of = lambda side: {c: F.col(f"{side}.{c}") for c in ("n", "p", "b")}
+    met = rare.alias("x").join(rare.alias("y"), F.col("x.w") == F.col("y.w")).where((F.col("y.o") < F.col("x.o")) & near(of("x"), of("y"), threshold)).select(F.col("x.o").alias("x"), F.col("y.o").alias("y"))
     shared = cut(prefix.join(common, "w", "left_semi"), "lines-shared")
     hubs = shared.groupBy("w").agg(F.min("o").alias("oy"), F.min_by("n", "o").alias("ny"), F.min_by("p", "o").alias("py"), F.min_by("b", "o").alias("by"))
     early = named(shared, "x").join(hubs, "w").where((F.col("ox") > F.col("oy")) & near(row("x"), row("y"), threshold)).select(F.col("ox").alias("x"), F.col("oy").alias("y"))
