@@ -1,22 +1,26 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, with weighted votes.
 
-Terms are words and the first four to six letters of words, so that inflected or compounded abuse is met too. Of these
-the terms that set labelled toxic from labelled clean texts apart are chosen; a text is the L2-normed TF-IDF vector of
-its chosen terms, with document frequencies over *all* documents. The examples are kept in blocks of similar vectors.
-For a query, a block's bound is the query times the block's largest weight of each term; blocks are scored from the
+Terms are words and the first four to six letters of words, so that inflected or compounded abuse is met too. An
+example is the L2-normed TF-IDF vector of all its terms, with document frequencies over *all* documents; a text is the
+vector of those of its terms that the examples have, normed with its other words as if no document had them. The terms
+that set labelled toxic from labelled clean texts apart weigh more. The examples are kept in blocks of similar vectors.
+For a query, terms of few examples are scored from their postings; with a bound of what the others add, a block's bound
+is the largest of its examples', or the query times the block's largest weight of each term. Blocks are scored from the
 largest bound on and the search ends when the k-th best cosine is above the next bound, so the k nearest are exact.
-Their labels vote with the square of their cosine, and leave-one-out votes of the examples, made monotone by pooling
-adjacent violators, turn votes into calibrated scores. The neighbours are the evidence.
+Their labels vote with a power of their cosine, and leave-one-out votes of the examples, made monotone by pooling
+adjacent violators, turn votes into calibrated scores; a text with the vector of examples gets their share of toxic
+ones. The neighbours are the evidence.
 
 The examples are a bounded sample of the labelled rows: at most ``per_class`` of each label, by a hash of their id,
-with equal texts once. Nulls count as empty texts; texts without a chosen term, empty ones among them, get the share
-of toxic examples among such texts. Ties in cosine go to the example that comes first in the index. Repeated rows
-score alike; an empty table gives an empty table; without any example every score is 0.
+with equal texts once. Nulls count as empty texts; texts without any term of an example, empty ones among them, get the
+share of toxic examples among those without a word. Ties in cosine go to the example that comes first in the index.
+Repeated rows score alike; an empty table gives an empty table; without any example every score is 0.
 """
 
 from __future__ import annotations
 
 import copy
+import hashlib
 import math
 import re
 from collections import Counter
@@ -31,6 +35,10 @@ from tesserae.llm.language_id import fold
 from tesserae.llm.texts import map_texts
 
 WORD = re.compile(r"[^\W\d_]+")
+#: How many times the weight of other terms is that of terms that set toxic texts apart.
+LEAN = 6.0
+#: The power of a cosine as a vote, and the vote of the prior.
+POWER, FLOOR = 8, 0.001
 
 
 def terms_of(word: str) -> list[str]:
@@ -38,29 +46,41 @@ def terms_of(word: str) -> list[str]:
 
 
 class Terms:
-    """Chosen terms, and the places of those that a word has; remembered for a bounded number of words."""
+    """All terms of the examples, and the places of those that a word has; remembered for a bounded number of words."""
 
-    def __init__(self, chosen: list[str]) -> None:
-        self.place = {t: i for i, t in enumerate(chosen)}
+    def __init__(self, known: list[str]) -> None:
+        self.place = {t: i for i, t in enumerate(known)}
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self) -> dict:
         return {"place": self.place, "memo": {}}
 
-    def counts(self, text: str | None) -> Counter:
-        out: Counter = Counter()
-        if not text:
-            return out
-        memo = self.memo
-        for word in WORD.findall(text.lower()):
-            at = memo.get(word)
-            if at is None:
-                if len(memo) > 300_000:
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, float]:
+        """The places of the text's terms in ascending order, how often each stands in it, and the squared weight,
+        before that of rarity, of its words that no example has."""
+        memo, place = self.memo, self.place
+        at: list[int] = []
+        times: list[int] = []
+        beyond = 0.0
+        for word, n in Counter(WORD.findall(text.lower()) if text else ()).items():
+            p = memo.get(word)
+            if p is None:
+                if len(memo) > 200_000:
                     memo.clear()
-                at = memo[word] = tuple(self.place[t] for t in terms_of(word) if t in self.place)
-            if at:
-                out.update(at)
-        return out
+                p = memo[word] = tuple(place[t] for t in terms_of(word) if t in place)
+            at += p
+            times += [n] * len(p)
+            if word not in place:
+                beyond += (1 + math.log(n)) ** 2
+        if not at:
+            return np.zeros(0, dtype=np.int64), np.zeros(0), beyond
+        found, to = np.unique(np.array(at, dtype=np.int64), return_inverse=True)
+        return found, np.bincount(to, weights=times), beyond
+
+
+def known_terms(texts: list[str]) -> list[str]:
+    words = {w for text in texts for w in WORD.findall(text.lower())}
+    return sorted({t for w in words for t in terms_of(w)})
 
 
 def choose(texts: list[str], labels: list[int], most: int, least_docs: int = 4, odds: float = 6.0) -> list[str]:
@@ -80,102 +100,172 @@ def choose(texts: list[str], labels: list[int], most: int, least_docs: int = 4,
     return [t for _, t in sorted(found)[:most]]
 
 
-class Index:
-    """Example vectors in blocks, with each block's largest weight of each term."""
+def arrays(vector: dict[int, float] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Terms in ascending order, and their weights."""
+    if isinstance(vector, tuple):
+        return vector
+    at = sorted(vector)
+    return np.array(at, dtype=np.int64), np.array([vector[t] for t in at], dtype=float)
+
+
+class Rows:
+    """Rows of different lengths in one array."""
+
+    def __init__(self, start: np.ndarray, flat: np.ndarray) -> None:
+        self.start, self.flat = start, flat
 
-    def __init__(self, vectors: list[dict[int, float]], ids: list, labels: list[int], weights: list[float], n_terms: int, block: int = 64) -> None:
-        order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], -t)), labels[i], i))
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.flat[self.start[k] : self.start[k + 1]]
+
+
+class Index:
+    """Example vectors in blocks. Of terms that few examples have, the postings; of the ``widest`` others, each
+    example's weight and each block's largest."""
+
+    def __init__(self, vectors: list, ids: list, labels: list[int], weights: list[float], n_terms: int, block: int = 64, widest: int = 512) -> None:
+        pairs = [arrays(v) for v in vectors]
+        terms = np.concatenate([t for t, _ in pairs]) if pairs else np.zeros(0, dtype=np.int64)
+        many = np.bincount(terms, minlength=n_terms)
+        # similar vectors share a block: their heaviest term that several examples have is the same
+        heavy = [max(zip(np.where(many[t] >= 8, w, 0), -t, strict=True)) for t, w in pairs]
+        order = sorted(range(len(pairs)), key=lambda i: (-heavy[i][1], labels[i], i))
         self.ids = [ids[i] for i in order]
         self.labels = np.array([labels[i] for i in order], dtype=np.int8)
         self.weights = np.array([weights[i] for i in order])
         self.block, self.n_blocks = block, -(-len(order) // block)
-        posts: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for at, i in enumerate(order):
-            for t, w in vectors[i].items():
-                posts[t].append((at, w))
-        self.docs = [np.array([d for d, _ in p], dtype=np.int64) for p in posts]
-        self.w = [np.array([w for _, w in p]) for p in posts]
-        self.top: list[tuple[np.ndarray, np.ndarray]] = []  # of each term: its blocks, and their largest weights
-        for d, w in zip(self.docs, self.w, strict=True):
-            blocks, start = np.unique(d // block, return_index=True)
-            self.top.append((blocks, np.maximum.reduceat(w, start) if len(w) else w))
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest cosine above 0, as (cosine, place); ties by place."""
-        bound = np.zeros(self.n_blocks)
-        for t, q in query.items():
-            blocks, top = self.top[t]
-            bound[blocks] += q * top
+        terms = np.concatenate([pairs[i][0] for i in order]) if pairs else terms
+        by = np.argsort(terms, kind="stable")
+        place = np.repeat(np.arange(len(order)), [len(pairs[i][0]) for i in order])[by]
+        weight = (np.concatenate([pairs[i][1] for i in order]) if pairs else np.zeros(0))[by]
+        self.start = np.concatenate([[0], np.cumsum(many)])
+        self.docs, self.w = Rows(self.start, place), Rows(self.start, weight)
+        wide = np.argsort(-many, kind="stable")[:widest]
+        wide = wide[many[wide] >= max(2, len(order) // 32)]
+        self.column = np.full(n_terms, -1, dtype=np.int32)
+        self.column[wide] = np.arange(len(wide))
+        self.wide = wide
+        self.widen()
+
+    def widen(self) -> None:
+        block, wide = self.block, self.wide
+        dense = np.zeros((self.n_blocks * block, len(wide)))
+        for k, t in enumerate(wide):
+            dense[self.docs[t], k] = self.w[t]
+        self.dense = dense.reshape(self.n_blocks, block, len(wide))
+        self.rough = dense.astype(np.float32)
+        self.top = self.dense.max(axis=1)
+
+    def __getstate__(self) -> dict:
+        """Without what the postings tell, as copies are sent and written."""
+        state = {k: v for k, v in self.__dict__.items() if k not in ("docs", "w", "dense", "rough", "top")}
+        return state | {"packed": (self.docs.flat.astype(np.min_scalar_type(len(self.ids))), self.w.flat)}
+
+    def __setstate__(self, state: dict) -> None:
+        place, weight = state.pop("packed")
+        self.__dict__.update(state)
+        self.docs, self.w = Rows(self.start, place.astype(np.int64)), Rows(self.start, weight)
+        self.widen()
+
+    def roughly(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For each query, what the terms that many examples have add to its cosines, to less than 1e-4."""
+        rest = np.zeros((len(queries), self.top.shape[1]), dtype=np.float32)
+        for row, (t, q) in zip(rest, queries, strict=True):
+            column = self.column[t]
+            row[column[column >= 0]] = q[column >= 0]
+        return (rest @ self.rough.T).reshape(len(queries), self.n_blocks, self.block)
+
+    def nearest(self, query: dict[int, float] | tuple[np.ndarray, np.ndarray], k: int, without: int = -1, roughly: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The k examples of largest cosine above 0, as (cosine, place); ties by place. ``roughly`` (one row of that
+        function) makes the blocks' bounds tighter, and leaves the result as it is."""
+        t, q = arrays(query)
+        if not len(t) or not self.n_blocks:
+            return []
+        column = self.column[t]
+        few = column < 0
+        # the terms that few examples have are scored in full
+        start, size = self.start[t[few]], self.start[t[few] + 1] - self.start[t[few]]
+        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        part = np.bincount(self.docs.flat[at], weights=self.w.flat[at] * np.repeat(q[few], size), minlength=self.n_blocks * self.block).reshape(self.n_blocks, self.block)
+        rest = np.zeros(self.top.shape[1])
+        rest[column[~few]] = q[~few]
+        # those that many have are bounded by block, and scored in blocks from the largest bound on
+        bound = part.max(axis=1) + self.top @ rest if roughly is None else (part + roughly).max(axis=1) + 1e-4
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best: list[tuple[float, int]] = []
-        step, at = 4, 0
-        while at < len(order):
-            if len(best) == k and bound[order[at]] < best[-1][0] - 1e-12:
+        cosine, place = np.zeros(0), np.zeros(0, dtype=np.int64)
+        step, seen = 4, 0
+        while seen < len(order):
+            if len(cosine) == k and bound[order[seen]] < cosine[-1] - 1e-9:
                 break
-            part, at = np.sort(order[at : at + step]), at + step
+            some, seen = order[seen : seen + step], seen + step
             step *= 2
-            score = np.zeros(len(part) * self.block)
-            for t, q in query.items():
-                d = self.docs[t]
-                lo, hi = np.searchsorted(d, part * self.block), np.searchsorted(d, (part + 1) * self.block)
-                for j, (a, b) in enumerate(zip(lo, hi, strict=True)):
-                    if a < b:
-                        score[d[a:b] - part[j] * self.block + j * self.block] += q * self.w[t][a:b]
-            hit = np.flatnonzero(score > 0)
-            place = part[hit // self.block] * self.block + hit % self.block
-            best = sorted([*best, *((float(s), int(p)) for s, p in zip(score[hit], place, strict=True) if p != without)], key=lambda x: (-round(x[0], 12), x[1]))[:k]
-        return best
+            cosine = np.concatenate([cosine, *(part[b] + self.dense[b] @ rest for b in some)])
+            place = np.concatenate([place, (some[:, None] * self.block + np.arange(self.block)).ravel()])
+            stay = np.flatnonzero((cosine > 0) & (place != without))
+            if len(stay) > k:
+                stay = stay[cosine[stay] >= np.partition(cosine[stay], -k)[-k] - 1e-9]
+            cosine, place = cosine[stay], place[stay]
+            best = np.lexsort((place, -np.round(cosine, 12)))[:k]
+            cosine, place = cosine[best], place[best]
+        return list(zip(cosine.tolist(), place.tolist(), strict=True))
 
 
 class ToxicityModel:
-    def __init__(self, terms: Terms, idf: np.ndarray, texts: list[str], ids: list, labels: list[int], class_weight: list[float], k: int) -> None:
-        self.terms, self.idf, self.k = terms, idf, k
+    def __init__(self, terms: Terms, idf: np.ndarray, rarest: float, texts: list[str], ids: list, labels: list[int], class_weight: list[float], k: int) -> None:
+        self.terms, self.idf, self.rarest, self.k = terms, idf, rarest, k
         vectors = [self.vector(t) for t in texts]
         weight = [class_weight[y] for y in labels]
         bare = [0.0, 0.0]
         for v, y, w in zip(vectors, labels, weight, strict=True):
-            if not v:
+            if not len(v[0]):
                 bare[y] += w
         share = [sum(w for y, w in zip(labels, weight, strict=True) if y == c) for c in (0, 1)]
-        #: of toxic texts among those without a term, and among all
+        #: of toxic texts among those without a word, and among all
         self.bare = (bare[1] / sum(bare)) if sum(bare) else 0.0
         self.prior = share[1] / sum(share) if sum(share) else 0.0
-        full = [i for i, v in enumerate(vectors) if v]
+        full = [i for i, v in enumerate(vectors) if len(v[0])]
         self.index = Index([vectors[i] for i in full], [ids[i] for i in full], [labels[i] for i in full], [weight[i] for i in full], len(terms.place))
         self.memo: dict = {}
         self.steps = (np.array([0.0]), np.array([self.bare]))
         places = {i: at for at, i in enumerate(self.index.ids)}
-        loo = sorted((self.vote(self.index.nearest(vectors[i], k, without=places[ids[i]])), labels[i], weight[i]) for i in full)
+        loo = []
+        for at in range(0, len(full), 64):
+            some = full[at : at + 64]
+            for i, rough in zip(some, self.index.roughly([vectors[i] for i in some]), strict=True):
+                loo.append((self.vote(self.index.nearest(vectors[i], k, places[ids[i]], rough)), labels[i], weight[i]))
+        loo.sort()
         if loo:
             self.steps = monotone([x[0] for x in loo], [x[1] for x in loo], [x[2] for x in loo])
 
-    def vector(self, text: str | None) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(self.terms.counts(text).items())}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()} if norm else {}
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and their weights; with the words that no example has the vector is of length 1."""
+        at, n, beyond = self.terms.counts(text)
+        v = (1 + np.log(n)) * self.idf[at]
+        return at, v / math.sqrt(v @ v + beyond * self.rarest**2) if len(v) else v
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        """Weighted by squared cosine and the class's sampling rate; far neighbours leave it at the prior."""
-        w = np.array([s * s for s, _ in near]) * self.index.weights[[p for _, p in near]] if near else np.zeros(0)
-        y = self.index.labels[[p for _, p in near]] if near else np.zeros(0)
-        return float(((w * y).sum() + 0.1 * self.prior) / (w.sum() + 0.1))
-
-    def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        v = self.vector(text)
-        if not v:
-            return self.bare, []
-        key = tuple(v.items())
-        found = self.memo.get(key)
-        if found is None:
-            near = self.index.nearest(v, self.k)
-            raw = self.vote(near)
-            at = int(np.searchsorted(self.steps[0], raw, side="right")) - 1
-            found = float(self.steps[1][max(0, at)]), near
+        """Weighted by a power of the cosine and the class's sampling rate; far neighbours leave it at the prior."""
+        at = [p for _, p in near]
+        w = np.array([s for s, _ in near]) ** POWER * self.index.weights[at] if near else np.zeros(0)
+        y = self.index.labels[at] if near else np.zeros(0)
+        return float(((w * y).sum() + FLOOR * self.prior) / (w.sum() + FLOOR))
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """Each text's score and its neighbours."""
+        out: list = []
+        for at in range(0, len(texts), 64):
+            vectors = [self.vector(t) for t in texts[at : at + 64]]
+            keys = [hashlib.blake2b(t.tobytes() + w.tobytes(), digest_size=16).digest() if len(t) else None for t, w in vectors]
             if len(self.memo) > 20_000:
                 self.memo.clear()
-            self.memo[key] = found
-        return found
+            new = {key: v for key, v in zip(keys, vectors, strict=True) if key and key not in self.memo}
+            for (key, v), rough in zip(new.items(), self.index.roughly(list(new.values())) if new else [], strict=True):
+                near = self.index.nearest(v, self.k, roughly=rough)
+                step = int(np.searchsorted(self.steps[0], self.vote(near), side="right")) - 1
+                same = [int(self.index.labels[p]) for s, p in near if s > 1 - 1e-9]
+                self.memo[key] = ((sum(same) + 0.05) / (len(same) + 0.1) if same else float(self.steps[1][max(0, step)])), near
+            out += [self.memo[key] if key else (self.bare, []) for key in keys]
+        return out
 
 
 def monotone(x: list[float], y: list[int], w: list[float]) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +308,7 @@ def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, most_terms: int = 4096, k: int = 15) -> ToxicityModel:
     """Fit on the labelled rows that ``labels`` has; document frequencies come from every row of ``docs``."""
     ids, texts, said, weight = examples(docs, labels, id_col, text_col, label_col, per_class)
-    terms = Terms(choose(texts, said, most_terms))
+    terms = Terms(known_terms(texts))
     m = len(terms.place)
     counted = np.zeros(m + 1, dtype=np.int64)
     if m:
@@ -228,16 +318,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             have = np.zeros(m + 1, dtype=np.int64)
             for batch in batches:
                 for text in batch["t"]:
-                    have[list(shared.value.counts(text))] += 1
+                    have[shared.value.counts(text)[0]] += 1
                     have[m] += 1
+            shared.value.memo.clear()
             at = np.flatnonzero(have)
-            yield pd.DataFrame({"p": at.astype("int32"), "n": have[at]})
+            for k in range(0, len(at), 100_000):
+                yield pd.DataFrame({"p": at[k : k + 100_000].astype("int32"), "n": have[at[k : k + 100_000]]})
 
         slim = docs.select(F.col(text_col).alias("t"))
-        for r in slim.mapInPandas(frequencies, "p int, n long").groupBy("p").agg(F.sum("n").alias("n")).collect():  # at most most_terms + 1 rows
-            counted[r["p"]] = r["n"]
+        found = slim.mapInPandas(frequencies, "p int, n long").groupBy("p").agg(F.sum("n").alias("n")).toArrow()  # two numbers for each of the examples' terms
+        counted[found["p"].to_numpy()] = found["n"].to_numpy()
     idf = np.log((1 + counted[m]) / (1 + counted[:m])) + 1
-    return ToxicityModel(terms, idf, texts, ids, said, weight, k)
+    idf[[terms.place[t] for t in choose(texts, said, most_terms)]] *= LEAN
+    return ToxicityModel(terms, idf, math.log(1 + int(counted[m])) + 1, texts, ids, said, weight, k)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: tuple[str, ...] | dict[str, str] = ("doc_id",), evidence: bool = True) -> DataFrame:
@@ -251,7 +344,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: t
         m.terms.memo = {}
 
         def work(texts: list[str | None]) -> list[list]:
-            found = [m.score(t) for t in texts]
+            found = m.scores(texts)
             scores = [s for s, _ in found]
             said = [[{"example": str(m.index.ids[p]), "label": int(m.index.labels[p]), "cosine": s} for s, p in near] for _, near in found]
             return [scores, [int(s >= 0.5) for s in scores], *([said] if evidence else [])]

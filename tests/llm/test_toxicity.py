@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from tesserae.llm import toxicity as X
+from tests.llm.conftest import make
 
 
 def brute(index, query, k, without=-1):
@@ -28,6 +29,29 @@ def test_search_is_exact():
                 assert np.allclose([s for s, _ in got], [s for s, _ in want])
 
 
+def test_rough_bounds_leave_the_result_as_it_is():
+    rng = np.random.default_rng(6)
+    vectors = []
+    for _ in range(500):
+        at, w = rng.choice(60, 12, replace=False), rng.random(12)
+        vectors.append({int(t): float(x) for t, x in zip(at, w / np.sqrt((w**2).sum()), strict=True)})
+    index = X.Index(vectors, list(range(500)), [0] * 500, [1.0] * 500, 60, widest=20)
+    for q, rough in zip(vectors[:60], index.roughly([X.arrays(v) for v in vectors[:60]]), strict=True):
+        got, want = index.nearest(q, 7, roughly=rough), brute(index, q, 7)
+        assert [p for _, p in got] == [p for _, p in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
+
+
+def test_copies_of_toxic_examples_of_rare_terms(spark):
+    letters = "abcdefghij"
+    rare = [f"please read {letters[k] * 5}o and {letters[k] * 5}u today" for k in range(6)]
+    clean = [f"please read the news {letters[k % 10]}{letters[k // 10]} of today" for k in range(60)]
+    docs = make(spark, [*rare, *clean, *rare])
+    labels = spark.createDataFrame([(k, int(k < 6)) for k in range(66)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in X.score(docs, X.fit(docs, labels)).collect()}
+    assert all(got[k]["predicted"] == 1 and abs(got[k]["neighbours"][0]["cosine"] - 1) < 1e-9 for k in (*range(6), *range(66, 72)))
+    assert all(got[k]["predicted"] == 0 and got[k]["neighbours"] for k in range(6, 66))
+
+
 def test_monotone():
     x, y = X.monotone([0.1, 0.2, 0.2, 0.5, 0.9], [0, 1, 0, 0, 1], [1, 1, 1, 1, 1])
     assert list(x) == sorted(x) and list(y) == sorted(y)
