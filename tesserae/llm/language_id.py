@@ -31,8 +31,8 @@ UNDETERMINED = "und"
 
 
 def subwords(word: str, buckets: int, least: int = 1, most: int = 3) -> list[int]:
-    """Buckets of the word with its marks and of its character n-grams."""
-    marked = f"<{word[:40]}>"
+    """Buckets of the word with its marks and of its character n-grams, be the word a run of any length."""
+    marked = f"<{word}>"
     grams = [marked] + [marked[i : i + n] for n in range(least, most + 1) for i in range(len(marked) - n + 1)]
     return [zlib.crc32(g.encode()) % buckets for g in grams if g not in "<>"]
 
@@ -46,10 +46,11 @@ class LanguageModel:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.letters = 0
         self.rows = np.zeros((1024, len(self.languages) + 1), dtype=np.float32)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("index", "rows")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("index", "rows", "letters")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -61,16 +62,18 @@ class LanguageModel:
         if k == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         at = subwords(word, len(self.scores))
-        self.rows[k, :-1] = self.scores[at].sum(axis=0)
+        for j in range(0, len(at), 30_000):  # a long run's rows aren't held at once
+            self.rows[k, :-1] += self.scores[at[j : j + 30_000]].sum(axis=0)
         self.rows[k, -1] = len(at)
         self.index[word] = k
+        self.letters += len(word)
         return k
 
     def probabilities(self, text: str) -> np.ndarray | None:
         words = WORD.findall(text.lower())
         if not words:
             return None
-        if len(self.index) > 200_000:  # bounds the worker's memory
+        if len(self.index) > 200_000 or self.letters > 20_000_000:  # bounds the worker's memory
             self.clear()
         index, slow = self.index, self.row
         at = [index[w] if w in index else slow(w) for w in words]

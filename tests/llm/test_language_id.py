@@ -59,3 +59,10 @@ def test_sample_is_bounded(docs):
 def test_subwords_share_stems():
     a, b = set(L.subwords("running", 1 << 15)), set(L.subwords("runner", 1 << 15))
     assert a & b and a != b
+
+
+def test_the_whole_of_a_long_run_counts():
+    model = L.train(["abab " * 30, "cdcd " * 30] * 60, ["ab", "cd"] * 60)
+    texts = ["ab" * 20 + "cd" * 2000, "cd" * 20 + "ab" * 2000]
+    assert [model.languages[int(model.probabilities(t).argmax())] for t in texts] == ["cd", "ab"]
+    assert len(L.subwords("x" * 10_000, 1 << 15)) > 29_000
