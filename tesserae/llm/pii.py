@@ -135,10 +135,11 @@ def term_spans(text: Column, terms: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, disclosure: float = 0.9, support: int = 3, small: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, the four counts, ``base_sha256``, ``spans``, ``n_term``."""
+    """``id_col``, the four counts, ``base_sha256``, ``spans``, ``n_term``; ``found``, the spans as structs by start;
+    and ``sanitised``, the text with entities generalised and disclosing terms removed, null where the text is."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("i"), text.alias("t"), F.xxhash64(text).alias("h"))
-    base = rows.select("i", "h", base_spans(F.col("t")).alias("s"))
+    rows = docs.select(F.col(id_col).alias("i"), text.alias("t"), F.xxhash64(text).alias("h"), F.col(text_col).alias("raw"))
+    base = rows.select("i", "h", "t", F.col("raw").isNull().alias("none"), base_spans(F.col("t")).alias("s"))
     hits, _ = disclosing(rows, disclosure, support, small)
     terms = hits.groupBy(F.col("i").alias("j"), F.col("h").alias("g")).agg(F.sort_array(F.collect_set("term")).alias("w"))
     terms = cut(terms, "pii-texts")
@@ -146,9 +147,11 @@ def sanitise(docs: DataFrame, disclosure: float = 0.9, support: int = 3, small:
     found = rows.join(F.broadcast(terms) if few else terms, F.col("i").eqNullSafe(F.col("j")) & (F.col("h") == F.col("g"))).select("j", "g", term_spans(F.col("t"), F.col("w")).alias("x")).dropDuplicates(["j", "g"])
     both = base.join(found, F.col("i").eqNullSafe(F.col("j")) & (F.col("h") == F.col("g")), "left")
     apart = F.filter(F.coalesce("x", F.array().cast(SPAN)), lambda x: ~F.exists("s", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
-    both = both.select("i", "s", apart.alias("x"))
+    both = both.select("i", "t", "none", "s", apart.alias("x"))
+    every = F.array_sort(F.concat("s", "x"))
+    said = F.when(~F.col("none"), redacted(F.col("t"), every))
     of = lambda k: F.size(F.filter("s", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return both.select(F.col("i").alias(id_col), *[of(k) for k in KINDS], F.sha2(joined(F.col("s")), 256).alias("base_sha256"), joined(F.array_sort(F.concat("s", "x"))).alias("spans"), F.size("x").cast("long").alias("n_term"))
+    return both.select(F.col("i").alias(id_col), *[of(k) for k in KINDS], F.sha2(joined(F.col("s")), 256).alias("base_sha256"), joined(every).alias("spans"), F.size("x").cast("long").alias("n_term"), every.alias("found"), said.alias("sanitised"))
 
 
 def redacted(text: Column, spans: Column) -> Column:

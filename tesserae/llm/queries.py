@@ -15,7 +15,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.sanitise(documents(spark, sf_dir), disclosure=0.9, support=3)
+    return pii.sanitise(documents(spark, sf_dir), disclosure=0.9, support=3).drop("found", "sanitised")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

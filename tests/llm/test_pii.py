@@ -73,6 +73,15 @@ def test_terms_that_give_an_entity_away(spark):
     assert all(rows[k]["spans"] == "" for k in range(6, 66))
 
 
+def test_sanitised_text(spark):
+    told = [f"Please write to kim@corp.example about projekt Zanzibar today {k}" for k in range(6)]
+    plain = [f"please write about something else today number {k}" for k in range(60)]
+    rows = {r["doc_id"]: r for r in pii.sanitise(make(spark, [*told, *plain, None])).collect()}
+    assert rows[3]["sanitised"] == "Please write to [EMAIL] about   today 3"
+    assert ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in rows[3]["found"]) == rows[3]["spans"]
+    assert all(rows[k]["sanitised"] == plain[k - 6] for k in range(6, 66)) and rows[66]["sanitised"] is None
+
+
 def test_redacted(spark):
     df = spark.createDataFrame([("mail a@b.co or +1 555 010 9999 now",)], "t string")
     assert df.select(pii.redacted(F.col("t"), pii.base_spans(F.col("t")))).first()[0] == "mail [EMAIL] or [PHONE] now"
