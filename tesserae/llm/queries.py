@@ -38,8 +38,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(language_id.fold("doc_id", 5) != 0))
-    scored = toxicity.score(docs, model, evidence=False)
-    return scored.select("doc_id", (language_id.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (language_id.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "neighbours")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
@@ -18,17 +18,16 @@ from pyspark.sql.types import StructField, StructType
 KEPT: dict[str, Callable[[], None]] = {}
 
 
-def map_texts(docs: DataFrame, keep: dict[str, str], text_col: str, made: str, start: Callable[[], Callable[[list[str | None]], list[list]]], rows: int = 1000, owner: str = "") -> DataFrame:
+def map_arrow(docs: DataFrame, keep: dict[str, str], value: Column, made: str, start: Callable[[], Callable[[pa.Array], list]], rows: int = 1000, owner: str = "") -> DataFrame:
     """The ``keep`` columns (name to name in the result), untouched, and the columns of the DDL ``made``.
 
-    ``start()`` runs once in each task and gives the function that turns a list of texts into one list of values for
-    each made column; it gets at most ``rows`` texts at a time."""
+    ``start()`` runs once in each task and gives the function that turns an Arrow array of ``value`` into values (a
+    list or an Arrow array) for each made column; it gets at most ``rows`` of them at a time."""
     new = StructType.fromDDL(made)
     kept = [StructField(to, docs.schema[name].dataType, True) for name, to in keep.items()]
     types = [f.type for f in to_arrow_schema(new)]
     names = [*keep.values(), *new.names]
-    place = list(keep).index(text_col) if text_col in keep else len(keep)
-    slim = docs.select(*[F.col(name).alias(f"_k{i}") for i, name in enumerate(keep)], *([] if text_col in keep else [F.col(text_col).alias("_text")]))
+    slim = docs.select(*[F.col(name).alias(f"_k{i}") for i, name in enumerate(keep)], value.alias("_value"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release(owner)
@@ -37,8 +36,8 @@ def map_texts(docs: DataFrame, keep: dict[str, str], text_col: str, made: str, s
             for batch in batches:
                 for at in range(0, batch.num_rows, rows):
                     part = batch.slice(at, rows)
-                    values = work(part.column(place).to_pylist())
-                    yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(v, t) for v, t in zip(values, types, strict=True))], names)
+                    values = work(part.column(len(keep)))
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, types, strict=True))], names)
         finally:
             del work
             release(owner)
@@ -46,6 +45,16 @@ def map_texts(docs: DataFrame, keep: dict[str, str], text_col: str, made: str, s
     return slim.mapInArrow(run, StructType([*kept, *new.fields]))
 
 
+def map_texts(docs: DataFrame, keep: dict[str, str], text_col: str, made: str, start: Callable[[], Callable[[list[str | None]], list[list]]], rows: int = 1000, owner: str = "") -> DataFrame:
+    """``map_arrow`` over a text column, as lists of texts."""
+
+    def lists() -> Callable[[pa.Array], list]:
+        work = start()
+        return lambda part: work(part.to_pylist())
+
+    return map_arrow(docs, keep, F.col(text_col), made, lists, rows, owner)
+
+
 def release(owner: str = "") -> None:
     """Give memory that a task no longer needs back to the system, with what operators other than ``owner`` keep: a
     Python worker outlives a task and serves others."""

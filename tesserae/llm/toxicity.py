@@ -1,271 +1,269 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, with weighted votes.
 
-Terms are words and the first four to six letters of words, so that inflected or compounded abuse is met too. An
-example is the L2-normed TF-IDF vector of all its terms, with document frequencies over *all* documents; a text is the
-vector of those of its terms that the examples have, normed with its other words as if no document had them. The terms
-that set labelled toxic from labelled clean texts apart weigh more. The examples are kept in blocks of similar vectors.
-For a query, terms of few examples are scored from their postings; with a bound of what the others add, a block's bound
-is the largest of its examples', or the query times the block's largest weight of each term. Blocks are scored from the
-largest bound on and the search ends when the k-th best cosine is above the next bound, so the k nearest are exact.
-Their labels vote with a power of their cosine, and leave-one-out votes of the examples, made monotone by pooling
-adjacent violators, turn votes into calibrated scores; a text with the vector of examples gets their share of toxic
-ones. The neighbours are the evidence.
-
-The examples are a bounded sample of the labelled rows: at most ``per_class`` of each label, by a hash of their id,
-with equal texts once. Nulls count as empty texts; texts without any term of an example, empty ones among them, get the
-share of toxic examples among those without a word. Ties in cosine go to the example that comes first in the index.
-Repeated rows score alike; an empty table gives an empty table; without any example every score is 0.
+Terms are the words (runs of letters, in lower case), each told by its 64-bit hash. An example is the L2-normed TF-IDF
+vector of all its terms, with document frequencies over *all* documents; a text is the vector of those of its terms
+that the examples have, normed with its other words as if no document had them. Terms that set labelled toxic from
+labelled clean texts apart weigh more; none is left out.
+
+The examples are kept in blocks of similar vectors. For a batch of queries, terms of few examples are scored in full
+from their postings; what the common terms add is bounded for each block by its largest weight of each. The blocks of
+the largest bounds are scored first, which gives the k-th best cosine so far, and then every block whose bound reaches
+it, so the k nearest are exact. Their labels vote with a power of their cosine; the votes of examples that a model of
+the other half of the examples gives them, made monotone by pooling adjacent violators, turn votes into calibrated
+scores; a text with the vector of examples gets their share of toxic ones. The neighbours are the evidence.
+
+The examples are a bounded sample of the labelled rows: at most ``per_class`` of each label and ``most_words`` words,
+by a hash of their id, with equal texts once. An id that is labelled both ways counts as toxic. Nulls count as empty
+texts; texts without any term of an example, empty ones among them, get the share of toxic examples among those
+without a word. Ties in cosine go to the example that comes first in the index. Repeated rows score alike; an empty
+table gives an empty table; without any example every score is 0.
 """
 
 from __future__ import annotations
 
-import copy
-import hashlib
 import math
-import re
-from collections import Counter
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.language_id import fold
-from tesserae.llm.texts import map_texts
+from tesserae.llm.texts import map_arrow
+from tesserae.storage import cut, discard
 
-WORD = re.compile(r"[^\W\d_]+")
 #: How many times the weight of other terms is that of terms that set toxic texts apart.
 LEAN = 6.0
 #: The power of a cosine as a vote, and the vote of the prior.
 POWER, FLOOR = 8, 0.001
+#: Queries that are searched together.
+TOGETHER = 64
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(f"^{word[:n]}" for n in (4, 5, 6) if len(word) >= n)]
+def words_of(text: Column) -> Column:
+    """The hashes of all the text's words, repeats too."""
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
+    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-class Terms:
-    """All terms of the examples, and the places of those that a word has; remembered for a bounded number of words."""
+class Vectors(NamedTuple):
+    """Sparse rows: row r holds ``term[start[r]:start[r + 1]]``, ascending, and as many weights."""
 
-    def __init__(self, known: list[str]) -> None:
-        self.place = {t: i for i, t in enumerate(known)}
-        self.memo: dict[str, tuple[int, ...]] = {}
+    start: np.ndarray
+    term: np.ndarray
+    weight: np.ndarray
 
-    def __getstate__(self) -> dict:
-        return {"place": self.place, "memo": {}}
-
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, float]:
-        """The places of the text's terms in ascending order, how often each stands in it, and the squared weight,
-        before that of rarity, of its words that no example has."""
-        memo, place = self.memo, self.place
-        at: list[int] = []
-        times: list[int] = []
-        beyond = 0.0
-        for word, n in Counter(WORD.findall(text.lower()) if text else ()).items():
-            p = memo.get(word)
-            if p is None:
-                if len(memo) > 200_000:
-                    memo.clear()
-                p = memo[word] = tuple(place[t] for t in terms_of(word) if t in place)
-            at += p
-            times += [n] * len(p)
-            if word not in place:
-                beyond += (1 + math.log(n)) ** 2
-        if not at:
-            return np.zeros(0, dtype=np.int64), np.zeros(0), beyond
-        found, to = np.unique(np.array(at, dtype=np.int64), return_inverse=True)
-        return found, np.bincount(to, weights=times), beyond
-
-
-def known_terms(texts: list[str]) -> list[str]:
-    words = {w for text in texts for w in WORD.findall(text.lower())}
-    return sorted({t for w in words for t in terms_of(w)})
-
-
-def choose(texts: list[str], labels: list[int], most: int, least_docs: int = 4, odds: float = 6.0) -> list[str]:
-    """The terms in at least ``least_docs`` texts of one label whose rate there is ``odds`` times that in the other,
-    by their share of information (G statistic), at most ``most``."""
-    have = [Counter(), Counter()]
-    for text, label in zip(texts, labels, strict=True):
-        have[label].update({t for w in set(WORD.findall(text.lower())) for t in terms_of(w)})
-    n = [max(1, labels.count(0)), max(1, labels.count(1))]
-    found = []
-    for term, a in have[1].items():
-        b = have[0].get(term, 0)
-        p, q = (a + 0.5) / (n[1] + 1), (b + 0.5) / (n[0] + 1)
-        if a >= least_docs and p >= odds * q:
-            mean = (a + b + 1) / (n[0] + n[1] + 2)
-            found.append((-(a * math.log(p / mean) + (b + 0.5) * math.log(q / mean)), term))
-    return [t for _, t in sorted(found)[:most]]
-
-
-def arrays(vector: dict[int, float] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Terms in ascending order, and their weights."""
-    if isinstance(vector, tuple):
-        return vector
-    at = sorted(vector)
-    return np.array(at, dtype=np.int64), np.array([vector[t] for t in at], dtype=float)
-
-
-class Rows:
-    """Rows of different lengths in one array."""
-
-    def __init__(self, start: np.ndarray, flat: np.ndarray) -> None:
-        self.start, self.flat = start, flat
-
-    def __getitem__(self, k: int) -> np.ndarray:
-        return self.flat[self.start[k] : self.start[k + 1]]
+    def some(self, rows: np.ndarray) -> Vectors:
+        size = self.start[rows + 1] - self.start[rows]
+        at = spread(self.start[rows], size)
+        return Vectors(np.concatenate([[0], np.cumsum(size)]), self.term[at], self.weight[at])
+
+    def row_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places from ``start[k]`` to before ``start[k] + size[k]``, for each k in turn."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def counted(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of hashes: where each row starts, the distinct hashes, each row's as places among them, and counts."""
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    known, place = np.unique(values, return_inverse=True)
+    both, n = np.unique(row * max(1, len(known)) + place, return_counts=True)
+    row, at = np.divmod(both, max(1, len(known)))
+    return np.searchsorted(row, np.arange(len(offsets))), known, at, n
+
+
+class Weights:
+    """The examples' terms and what each weighs."""
+
+    def __init__(self, known: np.ndarray, idf: np.ndarray, rarest: float) -> None:
+        self.known, self.idf, self.rarest = known, idf, rarest
+
+    def vectors(self, values: np.ndarray, offsets: np.ndarray) -> Vectors:
+        """Rows' vectors over the known terms; with the words that no example has each is of length 1."""
+        start, words, at, n = counted(values, offsets)
+        rows = len(offsets) - 1
+        place = np.searchsorted(self.known, words)
+        hit = place < len(self.known)
+        hit[hit] = self.known[place[hit]] == words[hit]
+        place[~hit] = 0
+        each = np.where(hit, self.idf[place], self.rarest) if len(self.known) else np.full(len(words), self.rarest)
+        weight = (1 + np.log(n)) * each[at]
+        row = np.repeat(np.arange(rows), np.diff(start))
+        norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=rows))
+        has = hit[at]
+        row, term, weight = row[has], place[at][has], weight[has] / norm[row[has]]
+        order = np.lexsort((term, row))
+        return Vectors(np.searchsorted(row, np.arange(rows + 1)), term[order], weight[order])
 
 
 class Index:
     """Example vectors in blocks. Of terms that few examples have, the postings; of the ``widest`` others, each
-    example's weight and each block's largest."""
+    example's weight and each block's largest. Places are numbers of examples in the index's own order."""
 
-    def __init__(self, vectors: list, ids: list, labels: list[int], weights: list[float], n_terms: int, block: int = 64, widest: int = 512) -> None:
-        pairs = [arrays(v) for v in vectors]
-        terms = np.concatenate([t for t, _ in pairs]) if pairs else np.zeros(0, dtype=np.int64)
-        many = np.bincount(terms, minlength=n_terms)
+    def __init__(self, vectors: Vectors, n_terms: int, block: int = 64, widest: int = 512) -> None:
+        n = len(vectors.start) - 1
+        many = np.bincount(vectors.term, minlength=n_terms)
         # similar vectors share a block: their heaviest term that several examples have is the same
-        heavy = [max(zip(np.where(many[t] >= 8, w, 0), -t, strict=True)) for t, w in pairs]
-        order = sorted(range(len(pairs)), key=lambda i: (-heavy[i][1], labels[i], i))
-        self.ids = [ids[i] for i in order]
-        self.labels = np.array([labels[i] for i in order], dtype=np.int8)
-        self.weights = np.array([weights[i] for i in order])
-        self.block, self.n_blocks = block, -(-len(order) // block)
-        terms = np.concatenate([pairs[i][0] for i in order]) if pairs else terms
-        by = np.argsort(terms, kind="stable")
-        place = np.repeat(np.arange(len(order)), [len(pairs[i][0]) for i in order])[by]
-        weight = (np.concatenate([pairs[i][1] for i in order]) if pairs else np.zeros(0))[by]
+        row, common = vectors.row_of(), many[vectors.term] >= 8
+        best = np.lexsort((vectors.term, -vectors.weight, ~common, row))
+        heavy = np.full(n, -1)
+        if len(row):
+            first = best[np.searchsorted(row, np.flatnonzero(np.diff(vectors.start)))]
+            heavy[row[first]] = vectors.term[first]
+        #: which of the given examples stands at each place
+        self.order = np.argsort(heavy, kind="stable")
+        self.n, self.block, self.n_blocks = n, block, -(-n // block)
+        sorted_ = vectors.some(self.order)
+        by = np.argsort(sorted_.term, kind="stable")
         self.start = np.concatenate([[0], np.cumsum(many)])
-        self.docs, self.w = Rows(self.start, place), Rows(self.start, weight)
+        self.docs, self.w = sorted_.row_of()[by].astype(np.int32), sorted_.weight[by]
         wide = np.argsort(-many, kind="stable")[:widest]
-        wide = wide[many[wide] >= max(2, len(order) // 32)]
+        self.wide = wide[many[wide] >= max(2, n // 32)]
         self.column = np.full(n_terms, -1, dtype=np.int32)
-        self.column[wide] = np.arange(len(wide))
-        self.wide = wide
+        self.column[self.wide] = np.arange(len(self.wide))
         self.widen()
 
     def widen(self) -> None:
-        block, wide = self.block, self.wide
-        dense = np.zeros((self.n_blocks * block, len(wide)))
-        for k, t in enumerate(wide):
-            dense[self.docs[t], k] = self.w[t]
-        self.dense = dense.reshape(self.n_blocks, block, len(wide))
-        self.rough = dense.astype(np.float32)
+        dense = np.zeros((self.n_blocks * self.block, len(self.wide)))
+        for k, t in enumerate(self.wide):
+            dense[self.docs[self.start[t] : self.start[t + 1]], k] = self.w[self.start[t] : self.start[t + 1]]
+        self.dense = dense.reshape(self.n_blocks, self.block, len(self.wide))
         self.top = self.dense.max(axis=1)
 
     def __getstate__(self) -> dict:
         """Without what the postings tell, as copies are sent and written."""
-        state = {k: v for k, v in self.__dict__.items() if k not in ("docs", "w", "dense", "rough", "top")}
-        return state | {"packed": (self.docs.flat.astype(np.min_scalar_type(len(self.ids))), self.w.flat)}
+        return {k: v for k, v in self.__dict__.items() if k not in ("dense", "top")}
 
     def __setstate__(self, state: dict) -> None:
-        place, weight = state.pop("packed")
         self.__dict__.update(state)
-        self.docs, self.w = Rows(self.start, place.astype(np.int64)), Rows(self.start, weight)
         self.widen()
 
-    def roughly(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """For each query, what the terms that many examples have add to its cosines, to less than 1e-4."""
-        rest = np.zeros((len(queries), self.top.shape[1]), dtype=np.float32)
-        for row, (t, q) in zip(rest, queries, strict=True):
-            column = self.column[t]
-            row[column[column >= 0]] = q[column >= 0]
-        return (rest @ self.rough.T).reshape(len(queries), self.n_blocks, self.block)
-
-    def nearest(self, query: dict[int, float] | tuple[np.ndarray, np.ndarray], k: int, without: int = -1, roughly: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """The k examples of largest cosine above 0, as (cosine, place); ties by place. ``roughly`` (one row of that
-        function) makes the blocks' bounds tighter, and leaves the result as it is."""
-        t, q = arrays(query)
-        if not len(t) or not self.n_blocks:
-            return []
-        column = self.column[t]
-        few = column < 0
+    def nearest(self, queries: Vectors, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k places of largest cosine above 0 for each query, ties by place: cosines, and places; -1 where there
+        are fewer."""
+        rows = len(queries.start) - 1
+        cosine, place = np.zeros((rows, k)), np.full((rows, k), -1)
+        for at in range(0, rows if self.n else 0, TOGETHER):
+            some = np.arange(at, min(rows, at + TOGETHER))
+            cosine[some], place[some] = self._together(queries.some(some), k)
+        return cosine, place
+
+    def _together(self, queries: Vectors, k: int) -> tuple[np.ndarray, np.ndarray]:
+        rows, size = len(queries.start) - 1, self.block
+        row, column = queries.row_of(), self.column[queries.term]
         # the terms that few examples have are scored in full
-        start, size = self.start[t[few]], self.start[t[few] + 1] - self.start[t[few]]
-        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        part = np.bincount(self.docs.flat[at], weights=self.w.flat[at] * np.repeat(q[few], size), minlength=self.n_blocks * self.block).reshape(self.n_blocks, self.block)
-        rest = np.zeros(self.top.shape[1])
-        rest[column[~few]] = q[~few]
-        # those that many have are bounded by block, and scored in blocks from the largest bound on
-        bound = part.max(axis=1) + self.top @ rest if roughly is None else (part + roughly).max(axis=1) + 1e-4
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        cosine, place = np.zeros(0), np.zeros(0, dtype=np.int64)
-        step, seen = 4, 0
-        while seen < len(order):
-            if len(cosine) == k and bound[order[seen]] < cosine[-1] - 1e-9:
-                break
-            some, seen = order[seen : seen + step], seen + step
-            step *= 2
-            cosine = np.concatenate([cosine, *(part[b] + self.dense[b] @ rest for b in some)])
-            place = np.concatenate([place, (some[:, None] * self.block + np.arange(self.block)).ravel()])
-            stay = np.flatnonzero((cosine > 0) & (place != without))
-            if len(stay) > k:
-                stay = stay[cosine[stay] >= np.partition(cosine[stay], -k)[-k] - 1e-9]
-            cosine, place = cosine[stay], place[stay]
-            best = np.lexsort((place, -np.round(cosine, 12)))[:k]
-            cosine, place = cosine[best], place[best]
-        return list(zip(cosine.tolist(), place.tolist(), strict=True))
+        few = column < 0
+        term = queries.term[few]
+        many = self.start[term + 1] - self.start[term]
+        at = spread(self.start[term], many)
+        cell = np.repeat(row[few] * (self.n_blocks * size), many) + self.docs[at]
+        score = np.bincount(cell, weights=self.w[at] * np.repeat(queries.weight[few], many), minlength=rows * self.n_blocks * size)
+        score = score.astype(float, copy=False).reshape(rows, self.n_blocks, size)
+        # those that many have are bounded by block
+        rest = np.zeros((rows, len(self.wide)))
+        rest[row[~few], column[~few]] = queries.weight[~few]
+        bound = score.max(axis=2) + rest @ self.top.T + 1e-9
+        done = np.zeros((rows, self.n_blocks), dtype=bool)
+
+        def finish(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                some = np.flatnonzero(wanted[:, b])
+                score[some, b] += rest[some] @ self.dense[b].T
+            done[wanted] = True
+
+        first = min(self.n_blocks, 1 + -(-k // size))
+        begin = np.zeros_like(done)
+        np.put_along_axis(begin, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
+        finish(begin)
+        so_far = np.where(begin[:, :, None], score, 0.0).reshape(rows, -1)
+        reached = np.partition(so_far, -k, axis=1)[:, -k] if k <= so_far.shape[1] else np.zeros(rows)
+        finish(~done & (bound >= np.maximum(reached, 1e-12)[:, None]))
+        score = np.where(done[:, :, None], np.round(score, 12), 0.0).reshape(rows, -1)
+        least = np.maximum(np.partition(score, -k, axis=1)[:, -k] if k <= score.shape[1] else np.zeros(rows), 1e-12)
+        cosine, place = np.zeros((rows, k)), np.full((rows, k), -1)
+        for r in range(rows):
+            best = np.flatnonzero(score[r] >= least[r])
+            best = best[np.argsort(-score[r, best], kind="stable")][:k]
+            cosine[r, : len(best)], place[r, : len(best)] = score[r, best], best
+        return cosine, place
+
+
+def leaning(vectors: tuple[np.ndarray, np.ndarray], labels: np.ndarray, n_terms: int, least_docs: int = 4, odds: float = 6.0) -> np.ndarray:
+    """The terms in at least ``least_docs`` toxic examples whose rate there is ``odds`` times that in the others.
+    ``vectors``: starts and terms."""
+    start, term = vectors
+    label = np.repeat(labels, np.diff(start))
+    toxic, clean = np.bincount(term[label == 1], minlength=n_terms), np.bincount(term[label == 0], minlength=n_terms)
+    p, q = (toxic + 0.5) / (max(1, (labels == 1).sum()) + 1), (clean + 0.5) / (max(1, (labels == 0).sum()) + 1)
+    return np.flatnonzero((toxic >= least_docs) & (p >= odds * q))
+
+
+def votes(labels: np.ndarray, weights: np.ndarray, cosine: np.ndarray, place: np.ndarray, prior: float) -> np.ndarray:
+    """Of each row's neighbours, weighted by a power of the cosine and the class's sampling rate; far neighbours leave
+    the vote at the prior."""
+    w = np.where(place >= 0, cosine**POWER * weights[place], 0.0)
+    return ((w * labels[place]).sum(axis=1) + FLOOR * prior) / (w.sum(axis=1) + FLOOR)
 
 
 class ToxicityModel:
-    def __init__(self, terms: Terms, idf: np.ndarray, rarest: float, texts: list[str], ids: list, labels: list[int], class_weight: list[float], k: int) -> None:
-        self.terms, self.idf, self.rarest, self.k = terms, idf, rarest, k
-        vectors = [self.vector(t) for t in texts]
-        weight = [class_weight[y] for y in labels]
-        bare = [0.0, 0.0]
-        for v, y, w in zip(vectors, labels, weight, strict=True):
-            if not len(v[0]):
-                bare[y] += w
-        share = [sum(w for y, w in zip(labels, weight, strict=True) if y == c) for c in (0, 1)]
+    """``values, offsets``: the examples' word hashes; ``frequency``: documents with each of their distinct ones, in
+    ascending order, of ``n_docs``; ``weights``: rows that an example stands for."""
+
+    def __init__(self, values: np.ndarray, offsets: np.ndarray, ids: list, labels: np.ndarray, weights: np.ndarray, frequency: np.ndarray, n_docs: int, k: int) -> None:
+        self.k = k
+        start, known, term, _ = counted(values, offsets)
+        idf, rarest = np.log((1 + n_docs) / (1 + frequency)) + 1, math.log(1 + n_docs) + 1
+
+        def weighing(rows: np.ndarray) -> Weights:
+            size = start[rows + 1] - start[rows]
+            own = idf.copy()
+            own[leaning((np.concatenate([[0], np.cumsum(size)]), term[spread(start[rows], size)]), labels[rows], len(known))] *= LEAN
+            return Weights(known, own, rarest)
+
+        def share(rows: np.ndarray) -> float:
+            return float((weights * labels)[rows].sum() / weights[rows].sum()) if len(rows) else 0.0
+
+        full, bare = np.flatnonzero(np.diff(start)), np.flatnonzero(np.diff(start) == 0)
         #: of toxic texts among those without a word, and among all
-        self.bare = (bare[1] / sum(bare)) if sum(bare) else 0.0
-        self.prior = share[1] / sum(share) if sum(share) else 0.0
-        full = [i for i, v in enumerate(vectors) if len(v[0])]
-        self.index = Index([vectors[i] for i in full], [ids[i] for i in full], [labels[i] for i in full], [weight[i] for i in full], len(terms.place))
-        self.memo: dict = {}
+        self.bare, self.prior = share(bare), share(np.arange(len(labels)))
         self.steps = (np.array([0.0]), np.array([self.bare]))
-        places = {i: at for at, i in enumerate(self.index.ids)}
-        loo = []
-        for at in range(0, len(full), 64):
-            some = full[at : at + 64]
-            for i, rough in zip(some, self.index.roughly([vectors[i] for i in some]), strict=True):
-                loo.append((self.vote(self.index.nearest(vectors[i], k, places[ids[i]], rough)), labels[i], weight[i]))
-        loo.sort()
-        if loo:
-            self.steps = monotone([x[0] for x in loo], [x[1] for x in loo], [x[2] for x in loo])
-
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and their weights; with the words that no example has the vector is of length 1."""
-        at, n, beyond = self.terms.counts(text)
-        v = (1 + np.log(n)) * self.idf[at]
-        return at, v / math.sqrt(v @ v + beyond * self.rarest**2) if len(v) else v
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        """Weighted by a power of the cosine and the class's sampling rate; far neighbours leave it at the prior."""
-        at = [p for _, p in near]
-        w = np.array([s for s, _ in near]) ** POWER * self.index.weights[at] if near else np.zeros(0)
-        y = self.index.labels[at] if near else np.zeros(0)
-        return float(((w * y).sum() + FLOOR * self.prior) / (w.sum() + FLOOR))
-
-    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
-        """Each text's score and its neighbours."""
-        out: list = []
-        for at in range(0, len(texts), 64):
-            vectors = [self.vector(t) for t in texts[at : at + 64]]
-            keys = [hashlib.blake2b(t.tobytes() + w.tobytes(), digest_size=16).digest() if len(t) else None for t, w in vectors]
-            if len(self.memo) > 20_000:
-                self.memo.clear()
-            new = {key: v for key, v in zip(keys, vectors, strict=True) if key and key not in self.memo}
-            for (key, v), rough in zip(new.items(), self.index.roughly(list(new.values())) if new else [], strict=True):
-                near = self.index.nearest(v, self.k, roughly=rough)
-                step = int(np.searchsorted(self.steps[0], self.vote(near), side="right")) - 1
-                same = [int(self.index.labels[p]) for s, p in near if s > 1 - 1e-9]
-                self.memo[key] = ((sum(same) + 0.05) / (len(same) + 0.1) if same else float(self.steps[1][max(0, step)])), near
-            out += [self.memo[key] if key else (self.bare, []) for key in keys]
-        return out
+        # what each half's votes for the other are worth
+        half = np.arange(len(full)) % 2
+        vote = np.zeros(len(full))
+        for h in (0, 1):
+            of, to = full[half == h], full[half != h]
+            if len(of) and len(to):
+                w = weighing(of)
+                vectors = w.vectors(values, offsets)
+                index = Index(vectors.some(of), len(known))
+                at = of[index.order]
+                vote[half != h] = votes(labels[at], weights[at], *index.nearest(vectors.some(to), k), share(of))
+        if len(full) > 1:
+            order = np.argsort(vote, kind="stable")
+            self.steps = monotone(vote[order].tolist(), labels[full][order].tolist(), weights[full][order].tolist())
+        self.weighing = weighing(np.arange(len(labels)))
+        self.index = Index(self.weighing.vectors(values, offsets).some(full), len(known))
+        at = full[self.index.order]
+        self.ids, self.labels, self.weights = [ids[i] for i in at], labels[at], weights[at]
+
+    def scores(self, values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each row's score, and its neighbours' cosines and places (-1: none)."""
+        vectors = self.weighing.vectors(values, offsets)
+        rows = len(offsets) - 1
+        if not len(self.labels):
+            return np.full(rows, self.bare), np.zeros((rows, 0)), np.zeros((rows, 0), dtype=int)
+        cosine, place = self.index.nearest(vectors, self.k)
+        vote = votes(self.labels, self.weights, cosine, place, self.prior)
+        score = self.steps[1][np.maximum(0, np.searchsorted(self.steps[0], vote, side="right") - 1)]
+        same = (place >= 0) & (cosine > 1 - 1e-9)
+        toxic, n = (same & (self.labels[place] == 1)).sum(axis=1), same.sum(axis=1)
+        score = np.where(n > 0, (toxic + 0.05) / (n + 0.1), score)
+        return np.where(np.diff(vectors.start) > 0, score, self.bare), cosine, place
 
 
 def monotone(x: list[float], y: list[int], w: list[float]) -> tuple[np.ndarray, np.ndarray]:
@@ -284,53 +282,52 @@ def monotone(x: list[float], y: list[int], w: list[float]) -> tuple[np.ndarray,
     return np.array([s[0] for s in steps]), np.array([(s[1] + 0.05) / (s[2] + 0.1) for s in steps])
 
 
-def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> tuple[list, list[str], list[int], list[float]]:
-    """A bounded sample of the labelled rows, equal texts once: ids, texts, labels, and a class's rows for each."""
-    named = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)").dropDuplicates(["i"])
+def hashes_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in an Arrow array of lists, and where each list starts."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, most_words: int) -> tuple[np.ndarray, np.ndarray, list, np.ndarray, np.ndarray]:
+    """A bounded sample of the labelled rows, equal texts once: word hashes and where each example's start, ids, labels
+    and how many rows each stands for."""
+    named = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
     named = named.withColumn("u", F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(1 << 20)) / float(1 << 20))
     counts = {r["y"]: r["n"] for r in named.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rate = [min(1.0, per_class / counts.get(y, 1)) for y in (0, 1)]
     taken = named.where(F.col("u") < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]))
-    # at most about 2 * per_class ids, so this side may be broadcast
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(taken), "i").select("i", "u", "y", F.coalesce("t", F.lit("")).alias("t")).collect()
-    rows.sort(key=lambda r: (r["u"], r["i"], r["t"]))
-    ids, texts, said, seen, n = [], [], [], set(), [0, 0]
-    for r in rows:
-        if r["t"] not in seen and r["i"] not in ids[-1:] and n[r["y"]] < per_class:
-            seen.add(r["t"])
-            ids.append(r["i"])
-            texts.append(r["t"])
-            said.append(r["y"])
+    # about 2 * per_class ids, so this side may be broadcast
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("i"), text.alias("t")).join(F.broadcast(taken), "i").select("i", "u", "y", F.xxhash64("t").alias("h"), words_of(F.col("t")).alias("w"))
+    rows = cut(rows.dropDuplicates(["i", "h"]), "toxicity-sample")
+    seen, n, left, chosen = set(), [0, 0], most_words, []
+    for r in rows.select("i", "u", "y", "h", F.size("w").alias("words")).orderBy("u", "i", "h").collect():
+        if r["h"] not in seen and n[r["y"]] < per_class and r["words"] <= left:
+            seen.add(r["h"])
+            left -= r["words"]
             n[r["y"]] += 1
-    return ids, texts, said, [counts.get(y, 0) / max(1, n[y]) for y in (0, 1)]
+            chosen.append((r["i"], r["h"]))
+    spot = docs.sparkSession.createDataFrame([(h, k) for k, (_, h) in enumerate(chosen)], "h long, k int")
+    table = rows.join(F.broadcast(spot), "h").dropDuplicates(["k"]).select("k", "i", "y", "w").orderBy("k").toArrow().combine_chunks()  # at most `most_words` words
+    discard(rows)
+    values, offsets = hashes_in(table["w"].chunk(0)) if table.num_rows else (np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64))
+    said = table["y"].to_numpy().astype(np.int64)
+    stands_for = np.array([counts.get(y, 0) / max(1, n[y]) for y in (0, 1)])
+    return values, offsets, table["i"].to_pylist(), said, stands_for[said]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, most_terms: int = 4096, k: int = 15) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, most_words: int = 5_000_000, k: int = 15) -> ToxicityModel:
     """Fit on the labelled rows that ``labels`` has; document frequencies come from every row of ``docs``."""
-    ids, texts, said, weight = examples(docs, labels, id_col, text_col, label_col, per_class)
-    terms = Terms(known_terms(texts))
-    m = len(terms.place)
-    counted = np.zeros(m + 1, dtype=np.int64)
-    if m:
-        shared = docs.sparkSession.sparkContext.broadcast(terms)
-
-        def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            have = np.zeros(m + 1, dtype=np.int64)
-            for batch in batches:
-                for text in batch["t"]:
-                    have[shared.value.counts(text)[0]] += 1
-                    have[m] += 1
-            shared.value.memo.clear()
-            at = np.flatnonzero(have)
-            for k in range(0, len(at), 100_000):
-                yield pd.DataFrame({"p": at[k : k + 100_000].astype("int32"), "n": have[at[k : k + 100_000]]})
-
-        slim = docs.select(F.col(text_col).alias("t"))
-        found = slim.mapInPandas(frequencies, "p int, n long").groupBy("p").agg(F.sum("n").alias("n")).toArrow()  # two numbers for each of the examples' terms
-        counted[found["p"].to_numpy()] = found["n"].to_numpy()
-    idf = np.log((1 + counted[m]) / (1 + counted[:m])) + 1
-    idf[[terms.place[t] for t in choose(texts, said, most_terms)]] *= LEAN
-    return ToxicityModel(terms, idf, math.log(1 + int(counted[m])) + 1, texts, ids, said, weight, k)
+    values, offsets, ids, said, weights = examples(docs, labels, id_col, text_col, label_col, per_class, most_words)
+    known = np.unique(values)
+    n_docs, frequency = 0, np.zeros(len(known), dtype=np.int64)
+    if len(known):
+        terms = docs.sparkSession.createDataFrame(pa.table({"w": known}))  # at most `most_words` numbers
+        spoken = docs.select(F.explode(F.array_distinct(words_of(F.col(text_col)))).alias("w")).join(F.broadcast(terms), "w")
+        found = spoken.groupBy("w").agg(F.count("*").alias("n")).toArrow()
+        frequency[np.searchsorted(known, found["w"].to_numpy())] = found["n"].to_numpy()
+        n_docs = docs.count()
+    return ToxicityModel(values, offsets, ids, said, weights, frequency, n_docs, k)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: tuple[str, ...] | dict[str, str] = ("doc_id",), evidence: bool = True) -> DataFrame:
@@ -339,20 +336,23 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: t
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
-        m = copy.copy(shared.value)  # what it remembers of words and vectors ends with the task
-        m.memo, m.terms = {}, copy.copy(m.terms)
-        m.terms.memo = {}
-
-        def work(texts: list[str | None]) -> list[list]:
-            found = m.scores(texts)
-            scores = [s for s, _ in found]
-            said = [[{"example": str(m.index.ids[p]), "label": int(m.index.labels[p]), "cosine": s} for s, p in near] for _, near in found]
-            return [scores, [int(s >= 0.5) for s in scores], *([said] if evidence else [])]
+        m = shared.value
+        ids = np.array([str(i) for i in m.ids] or [""], dtype=object)
+        labels = m.labels if len(m.labels) else np.zeros(1, dtype=int)
+
+        def work(column: pa.Array) -> list:
+            found, cosine, place = m.scores(*hashes_in(column))
+            out = [pa.array(found), pa.array((found >= 0.5).astype(np.int32))]
+            if evidence:
+                has = place >= 0
+                said = pa.StructArray.from_arrays([pa.array(ids[place[has]], pa.string()), pa.array(labels[place[has]].astype(np.int32)), pa.array(cosine[has])], ["example", "label", "cosine"])
+                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has.sum(axis=1))]).astype(np.int32)), said))
+            return out
 
         return work
 
     made = "score double, predicted int" + ", neighbours array<struct<example: string, label: int, cosine: double>>" * evidence
-    return map_texts(docs, {c: c for c in keep} if not isinstance(keep, dict) else keep, text_col, made, start)
+    return map_arrow(docs, {c: c for c in keep} if not isinstance(keep, dict) else keep, words_of(F.col(text_col)), made, start)
 
 
 __all__ = ["ToxicityModel", "examples", "fit", "fold", "score"]

@@ -1,44 +1,89 @@
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.llm import toxicity as X
 from tests.llm.conftest import make
 
 
-def brute(index, query, k, without=-1):
-    score = np.zeros(len(index.ids))
-    for t, q in query.items():
-        score[index.docs[t]] += q * index.w[t]
-    order = sorted((p for p in range(len(score)) if score[p] > 0 and p != without), key=lambda p: (-round(score[p], 12), p))
-    return [(float(score[p]), p) for p in order[:k]]
+def sparse(rows):
+    """Vectors of dicts from term to weight."""
+    return X.Vectors(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(int), np.array([t for r in rows for t in sorted(r)], dtype=int), np.array([r[t] for r in rows for t in sorted(r)]))
+
 
+def brute(rows, index, query, k):
+    """Cosines with all examples, in the index's order."""
+    score = [sum(w * rows[i].get(t, 0.0) for t, w in query.items()) for i in index.order]
+    order = sorted((p for p in range(len(score)) if score[p] > 1e-12), key=lambda p: (-round(score[p], 12), p))
+    return [(score[p], p) for p in order[:k]]
 
-def test_search_is_exact():
+
+@pytest.mark.parametrize("widest", [0, 5, 512])
+def test_search_is_exact(widest):
     rng = np.random.default_rng(5)
     for size in (1, 63, 64, 65, 900):
-        vectors = []
+        rows = []
         for _ in range(size):
             at = rng.choice(30, rng.integers(1, 6), replace=False)
             w = rng.choice([0.2, 0.5, 1.0], len(at))  # ties on purpose
-            vectors.append({int(t): float(x) for t, x in zip(at, w / np.sqrt((w**2).sum()), strict=True)})
-        index = X.Index(vectors, list(range(size)), [int(x) for x in rng.integers(0, 2, size)], [1.0] * size, 30)
-        for q in vectors[:60]:
-            for k in (1, 7):
-                got, want = index.nearest(q, k), brute(index, q, k)
-                assert [p for _, p in got] == [p for _, p in want]
-                assert np.allclose([s for s, _ in got], [s for s, _ in want])
-
-
-def test_rough_bounds_leave_the_result_as_it_is():
-    rng = np.random.default_rng(6)
-    vectors = []
-    for _ in range(500):
-        at, w = rng.choice(60, 12, replace=False), rng.random(12)
-        vectors.append({int(t): float(x) for t, x in zip(at, w / np.sqrt((w**2).sum()), strict=True)})
-    index = X.Index(vectors, list(range(500)), [0] * 500, [1.0] * 500, 60, widest=20)
-    for q, rough in zip(vectors[:60], index.roughly([X.arrays(v) for v in vectors[:60]]), strict=True):
-        got, want = index.nearest(q, 7, roughly=rough), brute(index, q, 7)
-        assert [p for _, p in got] == [p for _, p in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
+            rows.append({int(t): float(x) for t, x in zip(at, w / np.sqrt((w**2).sum()), strict=True)})
+        index = X.Index(sparse(rows), 30, widest=widest)
+        queries = [*rows[:99], {}, {7: 1.0}]
+        for k in (1, 7):
+            cosine, place = index.nearest(sparse(queries), k)
+            for q, c, p in zip(queries, cosine, place, strict=True):
+                want = brute(rows, index, q, k)
+                assert [x for x in p if x >= 0] == [x for _, x in want]
+                assert np.allclose(c[p >= 0], [x for x, _ in want])
+
+
+def test_no_example_is_no_neighbour():
+    cosine, place = X.Index(sparse([]), 3).nearest(sparse([{1: 1.0}]), 4)
+    assert (place == -1).all() and cosine.shape == (1, 4)
+
+
+def test_scores_against_brute_force(spark, tables, model):
+    """Cosines from the texts' own words, over all examples; votes and calibration as stated."""
+    docs, labels = tables
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    texts = {r["doc_id"]: Counter(words(r["text"])) for r in docs.collect()}
+    many = Counter(w for c in texts.values() for w in c)
+    ids = [int(i) for i in model.ids]
+    label = dict(zip(ids, model.labels, strict=True))
+    n = [max(1, sum(1 for i in ids if label[i] == y)) for y in (0, 1)]
+    have = [Counter(w for i in ids if label[i] == y for w in texts[i]) for y in (0, 1)]
+    lean = {w for w, a in have[1].items() if a >= 4 and (a + 0.5) / (n[1] + 1) >= 6 * (have[0][w] + 0.5) / (n[0] + 1)}
+
+    def vector(c):
+        rarest = np.log(1 + len(texts)) + 1
+        v = {w: (1 + np.log(k)) * (((np.log((1 + len(texts)) / (1 + many[w])) + 1) if w in have[0] or w in have[1] else rarest) * (6 if w in lean else 1)) for w, k in c.items()}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    examples = [vector(texts[i]) for i in ids]
+    some = sorted(texts)[::400]
+    got = {r["doc_id"]: r for r in X.score(docs.where(F.col("doc_id").isin(some)), model).collect()}
+    for i in some:
+        v = vector(texts[i])
+        cosine = np.array([sum(x * e[w] for w, x in v.items() if w in e) for e in examples])
+        order = sorted(np.flatnonzero(cosine > 1e-9), key=lambda p: (-round(cosine[p], 9), p))[:15]
+        assert np.allclose([r["cosine"] for r in got[i]["neighbours"]], cosine[order])
+        if order:
+            w = cosine[order] ** 8 * model.weights[order]
+            vote = ((w * model.labels[order]).sum() + 0.001 * model.prior) / (w.sum() + 0.001)
+            same = [model.labels[p] for p in order if cosine[p] > 1 - 1e-9]
+            want = (sum(same) + 0.05) / (len(same) + 0.1) if same else model.steps[1][max(0, np.searchsorted(model.steps[0], vote + 1e-12, side="right") - 1)]
+            assert abs(got[i]["score"] - want) < 1e-6
+
+
+def test_an_id_labelled_both_ways_counts_as_toxic(spark):
+    docs = make(spark, ["one", "two words", "three more words"])
+    labels = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    model = X.fit(docs, labels)
+    assert dict(zip(model.ids, model.labels, strict=True)) == {0: 1, 1: 0, 2: 0}
 
 
 def test_copies_of_toxic_examples_of_rare_terms(spark):
@@ -95,4 +140,4 @@ def test_without_labels(spark, odd, tables):
 def test_null_labels_and_repeats(spark, odd):
     labels = spark.createDataFrame([(0, 1), (0, 1), (1, None), (8, 0), (9, 1), (100, 1), (None, 1)], "doc_id long, toxic int")
     m = X.fit(odd, labels)
-    assert len(m.index.ids) <= 5 and X.score(odd, m).count() == odd.count()
+    assert len(m.ids) <= 5 and X.score(odd, m).count() == odd.count()
