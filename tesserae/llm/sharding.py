@@ -6,9 +6,13 @@ has no room for continues clockwise to the next that has. Large keys are placed
 level the shards. A key that no shard has room for is placed in parts, dealt by a hash of the row's id: a text that a
 third of all rows share can't be kept together and balanced at once.
 
-The load is the text's UTF-8 bytes plus 1 (null: 1), so the law is ``bytes``. The ring walk runs on the driver over at
-most ``cells`` cells of small keys and their parts, plus at most about twice ``cells`` parts of keys above one cell's
-share: a bounded number at any size of input. Rows are only hashed, counted and numbered; texts are never shuffled.
+The load is the text's UTF-8 bytes plus 1 (null: 1), so the law is ``bytes``. The ring walk runs on the driver over
+units: a unit is a key, or a part of one, or the keys of one short arc of the ring that are small, and holds at most
+``slack / (2 * shards)`` of all bytes if no single row does. There are at most some ``12 * shards / slack`` of them, a
+number that grows with the shards and never with the input. Balance is guaranteed: while a unit of that size is
+unplaced, all shards together have more room left than one such unit for each, so one of them can take it. Only a row
+that is larger by itself can't be kept to the bound; it goes to the emptiest shard, which it exceeds by less than its
+own size. Rows are only hashed, counted and numbered; texts are never shuffled.
 
 Nulls are the key of no text. Repeated rows share key and id and are numbered in any order among themselves, which
 can't be told apart. An empty table gives an empty table. With fewer keys than shards some shards stay empty.
@@ -36,7 +40,7 @@ def walk(keys: list[tuple[int, list[tuple]]], loads: dict[tuple, int], shards: i
     """Place keys. ``keys``: position on the ring and the cells of each; ``loads``: by cell. Cell to shard.
 
     A key goes whole to the first shard clockwise with room for all of it, else cell by cell; a cell that fits nowhere
-    (its load is above what all shards have left) goes to the emptiest shard."""
+    goes to the emptiest shard. That is a single large row, or else an error."""
     places, owner = ring(shards, virtual)
     clockwise: dict[int, list[int]] = {}
     total = sum(loads.values())
@@ -53,13 +57,15 @@ def walk(keys: list[tuple[int, list[tuple]]], loads: dict[tuple, int], shards: i
         for c in cells:
             to = shard if shard is not None else next((s for s in order if room[s] >= loads[c]), None)
             if to is None:
+                if loads[c] <= slack * total / shards:
+                    raise RuntimeError("no shard has room for a unit that is small enough")
                 to = max(order, key=lambda s: room[s])
             room[to] -= loads[c]
             out[c] = to
     return out
 
 
-def shard(docs: DataFrame, shards: int = 8, virtual: int = 128, slack: float = 0.005, cells: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, virtual: int = 128, slack: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, size, text_crc32, law, shard, slot, grown_shard`` for each row; slots are gapless from 0 in a shard."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -71,21 +77,26 @@ def shard(docs: DataFrame, shards: int = 8, virtual: int = 128, slack: float = 0
         F.xxhash64(F.lit("part"), F.col(id_col).cast("string")).alias("h"),
     )
     rows = cut(rows, "sharding")  # texts are read once
-    total = rows.agg(F.sum("size").alias("b")).first()["b"] or 0
-    share = max(1, total // cells)
-    # a key above a cell's share is a cell or more of its own: fewer than `cells` such keys exist
-    large = rows.groupBy("key").agg(F.sum("size").alias("w")).where(F.col("w") > share)
-    parts = large.select("key", F.ceil(F.col("w") / share).cast("int").alias("parts")).collect()
-    known = spark.createDataFrame([(r["key"], r["parts"]) for r in parts], "key long, parts int")
-    # position of a small key's cell: its hash's upper bits, so cells stand on the ring in order
-    spot = F.shiftrightunsigned(F.col("key"), 64 - (cells - 1).bit_length())
-    placed = rows.join(F.broadcast(known), "key", "left").select(
-        "i", "size", "crc", "h",
-        F.when(F.col("parts").isNull(), spot).otherwise(F.col("key")).alias("spot"),
-        F.when(F.col("parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.col("h"), F.col("parts"))).cast("int").alias("part"),
-        F.when(F.col("parts").isNull(), F.pmod(F.shiftright(F.col("h"), 20), F.lit(4)).cast("int")).otherwise(F.lit(0)).alias("sub"),
-    )
-    counted = placed.groupBy("spot", "part", "sub").agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect()
+    known = rows.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
+    most = max(1, int(slack * (known["b"] or 0) / (2 * shards)))
+    # a key above half of a unit is a unit or more of its own: fewer than 4 * shards / slack such keys exist
+    large = cut(rows.groupBy("key").agg(F.sum("size").alias("w")).where(F.col("w") > most / 2).select("key", F.ceil(F.col("w") / (most / 2)).cast("int").alias("parts")), "sharding-large")
+    first = math.ceil(math.log2(8 * shards / slack))
+    # rows of a unit are numbered in parts of some tens of thousands
+    subs = max(4, math.ceil(known["n"] / (50_000 << first)))
+    for finer in range(16):  # each turn doubles the units, until no unit that can be parted is too large
+        bits = 64 - first - finer
+        # a small key's place on the ring: its hash's upper bits, so units stand on the ring in order
+        own = F.col("parts").isNotNull()
+        placed = rows.join(F.broadcast(large), "key", "left").select(
+            "i", "size", "crc", "h", "key", F.when(own, F.col("key")).otherwise(F.shiftrightunsigned("key", bits)).alias("spot"),
+            F.when(own, F.pmod(F.col("h"), F.col("parts").cast("long") * (1 << finer))).otherwise(F.lit(-1)).cast("int").alias("part"),
+            F.pmod(F.shiftright("h", 20), F.lit(subs)).cast("int").alias("sub"),
+        )
+        units = placed.groupBy("spot", "part").agg(F.sum("size").alias("w"), (F.when(F.col("part") < 0, F.min("key") != F.max("key")).otherwise(F.min("h") != F.max("h"))).alias("parted"))
+        if not units.where((F.col("w") > most) & F.col("parted")).limit(1).count():
+            break
+    counted = placed.groupBy("spot", "part", "sub").agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect()  # `subs` rows for each unit
     loads: dict[tuple, int] = {}
     numbers: dict[tuple, list[tuple[int, int]]] = {}
     for r in counted:
@@ -95,7 +106,6 @@ def shard(docs: DataFrame, shards: int = 8, virtual: int = 128, slack: float = 0
     by_key: dict[tuple, list[tuple]] = {}
     for cell in sorted(loads):
         by_key.setdefault((cell[0], cell[1] >= 0), []).append(cell)
-    bits = 64 - (cells - 1).bit_length()
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
     keys = [(spot if own else signed(spot << bits), of) for (spot, own), of in by_key.items()]
     to = walk(keys, loads, shards, virtual, slack) if loads else {}

@@ -1,3 +1,6 @@
+import bisect
+import hashlib
+import math
 import zlib
 
 import pytest
@@ -39,6 +42,43 @@ def test_a_hot_text_is_spread_and_balanced(spark):
     assert len(got) == 3000
 
 
+def brute(texts, shards=8, virtual=128):
+    """Plain consistent hashing with bounded loads of whole keys: sizes by shard."""
+    load = {}
+    for t in texts:
+        load[t] = load.get(t, 0) + len((t or "").encode()) + 1
+    places, owner = S.ring(shards, virtual)
+    room = [math.ceil(1.002 * sum(load.values()) / shards)] * shards
+    for t, w in sorted(load.items(), key=lambda x: -x[1]):
+        at = bisect.bisect_left(places, int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "big", signed=True)) % len(places)
+        to = next(s for s in owner[at:] + owner[:at] if room[s] >= w)
+        room[to] -= w
+    return room
+
+
+def test_as_even_as_whole_keys_one_by_one(spark):
+    """No shard is over the bound, and what the shards have left is what a walk that places every key by itself leaves."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows, loads = held(S.shard(docs))
+    room = brute([r["text"] for r in docs.select("text").collect()])
+    bound = math.ceil(1.002 * sum(loads.values()) / 8)
+    left = [bound - x for x in loads.values()]
+    assert min(left) >= 0 and min(room) >= 0 and sum(left) == sum(room)
+    assert sorted(left)[-2] <= 0.002 * bound  # only the last shard that is reached stays emptier
+
+
+def test_many_shards_keep_the_bound(spark):
+    rows = [(k, f"text {k % 9000} " * (k % 7 + 1)) for k in range(20_000)]
+    got, loads = held(S.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=64, slack=0.02), 64)
+    largest = max(r["size"] for r in got)
+    assert max(loads.values()) <= 1.02 * sum(loads.values()) / 64 + 1 + largest
+    assert len({(r["text_crc32"], r["shard"]) for r in got}) <= 1.2 * len({r["text_crc32"] for r in got})
+
+
+def test_units_that_cannot_fit_are_errors_or_single_rows():
+    assert set(S.walk([(0, [(0, -1)]), (5, [(5, -1)])], {(0, -1): 90, (5, -1): 10}, 4, 8, 0.1).values()) <= set(range(4))
+
+
 def test_odd_and_empty(odd, empty):
     rows, _ = held(S.shard(odd))
     assert len(rows) == odd.count()
