@@ -7,8 +7,9 @@ its subwords. Probabilities are calibrated by a temperature fitted on a held-bac
 the rejection level is the probability below which that part was right less often than ``reject_precision``.
 
 The sample that the model is fitted on is bounded: at most ``per_language`` rows of each language, taken by a hash of
-their id, so every run takes the same ones. Everything else is over all rows. Nulls, and texts without a letter, get
-the language ``und`` with score 0 and are rejected. Ties between languages go to the first by code point. Repeated
+their id and of at most ``most_chars`` characters together, so every run takes the same ones. Everything else is over
+all rows. Nulls, and texts without a letter, get the language ``und`` with score 0 and are rejected; numerals such as
+½ or ① are no letters. Ties between languages go to the first by code point. Repeated
 rows get equal results, empty tables give an empty table, and without any training row every text is ``und``.
 """
 
@@ -23,13 +24,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.texts import map_texts
+from tesserae.storage import cut, discard
 
-#: A word is a run of letters.
-WORD = re.compile(r"[^\W\d_]+")
+#: A word is a run of letters and of numerals that aren't digits, with a letter in it.
+RUN = re.compile(r"[^\W\d_]+")
 #: What rejected texts without a letter are called.
 UNDETERMINED = "und"
 
 
+def has_letter(run: str) -> bool:
+    return run.isalpha() or any(map(str.isalpha, run))
+
+
+def words_of(text: str) -> list[str]:
+    return [w for w in RUN.findall(text.lower()) if has_letter(w)]
+
+
 def subwords(word: str, buckets: int, least: int = 1, most: int = 3) -> list[int]:
     """Buckets of the word with its marks and of its character n-grams, be the word a run of any length."""
     marked = f"<{word}>"
@@ -57,11 +67,11 @@ class LanguageModel:
         self.clear()
 
     def row(self, word: str) -> int:
-        """The place of a word's summed class scores and subword count."""
+        """The place of a run's summed class scores and subword count; runs without a letter have none."""
         k = len(self.index)
         if k == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        at = subwords(word, len(self.scores))
+        at = subwords(word, len(self.scores)) if has_letter(word) else []
         for j in range(0, len(at), 30_000):  # a long run's rows aren't held at once
             self.rows[k, :-1] += self.scores[at[j : j + 30_000]].sum(axis=0)
         self.rows[k, -1] = len(at)
@@ -70,7 +80,7 @@ class LanguageModel:
         return k
 
     def probabilities(self, text: str) -> np.ndarray | None:
-        words = WORD.findall(text.lower())
+        words = RUN.findall(text.lower())
         if not words:
             return None
         if len(self.index) > 200_000 or self.letters > 20_000_000:  # bounds the worker's memory
@@ -78,6 +88,8 @@ class LanguageModel:
         index, slow = self.index, self.row
         at = [index[w] if w in index else slow(w) for w in words]
         total = self.rows[at].sum(axis=0, dtype=np.float64)
+        if not total[-1]:
+            return None
         return softmax((total[:-1] / total[-1] + self.bias) / self.temperature)
 
 
@@ -94,7 +106,7 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int
     if not languages:
         return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 0.0)
     y = np.array([languages.index(x) for x in labels])
-    split = [WORD.findall(t.lower()) for t in texts]
+    split = [words_of(t) for t in texts]
     memo: dict[str, np.ndarray] = {}
 
     def features(some: list[str]) -> np.ndarray:
@@ -146,27 +158,37 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int
     return model
 
 
-def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> tuple[list[str], list[str]]:
-    """At most ``per_language`` texts of each language, by a hash of the id: a bounded number of rows to the driver."""
+def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, most_chars: int) -> tuple[list[str], list[str]]:
+    """At most ``per_language`` texts of each language, by a hash of the id, and ``most_chars`` characters of all: a
+    bounded number of bytes to the driver. Each language's first text that fits is taken before any second one."""
     key = F.xxhash64(F.col(id_col).cast("string"))
-    slim = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), key.alias("k"))
+    slim = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), key.alias("k"), F.xxhash64(text_col).alias("h"))
     counts = {r["l"]: r["n"] for r in slim.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], []
     share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
     spread = F.pmod(F.col("k"), F.lit(1 << 20)) / float(1 << 20)
-    rows = slim.where(spread < F.element_at(share, F.col("l"))).collect()
-    rows.sort(key=lambda r: (r["l"], r["k"], r["t"]))
-    kept, seen = [], dict.fromkeys(counts, 0)
+    taken = cut(slim.where(spread < F.element_at(share, F.col("l"))).dropDuplicates(["l", "k", "h"]), "language-sample")
+    seen, left, chosen = dict.fromkeys(counts, 0), most_chars, []
+    rows = sorted(taken.select("l", "k", "h", F.length("t").alias("n")).collect(), key=lambda r: (r["l"], r["k"], r["h"]))
+    turns: list[tuple] = []
     for r in rows:
         if seen[r["l"]] < per_language:
+            turns.append((seen[r["l"]], r))
             seen[r["l"]] += 1
-            kept.append(r)
+    for _, r in sorted(turns, key=lambda x: x[0]):
+        if r["n"] <= left:
+            left -= r["n"]
+            chosen.append((r["l"], r["k"], r["h"]))
+    spot = labelled.sparkSession.createDataFrame(chosen, "l string, k long, h long")
+    kept = taken.join(F.broadcast(spot), ["l", "k", "h"]).collect()  # at most `most_chars` characters
+    discard(taken)
+    kept.sort(key=lambda r: (r["l"], r["k"], r["t"]))
     return [r["t"] for r in kept], [r["l"] for r in kept]
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, **how) -> LanguageModel:
-    return train(*sample(labelled, id_col, text_col, lang_col, per_language), **how)
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, most_chars: int = 50_000_000, **how) -> LanguageModel:
+    return train(*sample(labelled, id_col, text_col, lang_col, per_language, most_chars), **how)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

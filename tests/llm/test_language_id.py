@@ -44,6 +44,18 @@ def test_undetermined_and_odd_rows(odd, empty, model):
     assert {r["lang_pred"] for r in L.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_numerals_are_no_letters(spark, model):
+    texts = ["½ ²", "①", "Ⅷ ٣", "½ the house of the", "12 !?", "ª"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in L.identify(df, model).collect()}
+    assert {k for k, v in got.items() if v == "und"} == {k for k, t in enumerate(texts) if not any(map(str.isalpha, t))} and got[3] == "en"
+
+
+def test_sample_is_bounded_in_characters(docs):
+    texts, labels = L.sample(docs, "doc_id", "text", "lang", 50, 20_000)
+    assert sum(map(len, texts)) <= 20_000 and len(set(labels)) == 4
+
+
 def test_low_confidence_is_rejected(spark, model):
     df = spark.createDataFrame([(1, "the of and with that in the house", None)], "doc_id long, text string, lang string")
     strict = L.LanguageModel(model.languages, model.scores, model.bias, model.temperature, 1.1)
@@ -51,9 +63,9 @@ def test_low_confidence_is_rejected(spark, model):
 
 
 def test_sample_is_bounded(docs):
-    texts, labels = L.sample(docs, "doc_id", "text", "lang", 20)
+    texts, labels = L.sample(docs, "doc_id", "text", "lang", 20, 10**8)
     assert all(labels.count(x) <= 20 for x in set(labels)) and len(set(labels)) == 4
-    assert (texts, labels) == L.sample(docs.repartition(7), "doc_id", "text", "lang", 20)
+    assert (texts, labels) == L.sample(docs.repartition(7), "doc_id", "text", "lang", 20, 10**8)
 
 
 def test_subwords_share_stems():
