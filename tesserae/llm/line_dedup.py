@@ -1,12 +1,13 @@
 """Line dedup by an exact set-similarity join.
 
 A line is the set of its words. A line is removed if an earlier line (by document id, then line number) has Jaccard
-similarity of at least ``threshold`` with it. Lines of fewer than ``min_words`` distinct words stay. Steps:
+similarity of at least ``threshold`` with it. Lines without a word stay. Steps:
 
-1. How often each word occurs is counted over all texts, in a sketch of a bounded number of counters. Words ordered by
-   (counter, hash) are ordered by rarity, and alike everywhere, which is all that the prefix filter needs; a word
-   whose counter is 1 occurs once and in no match.
-2. Lines of equal sets are one class, of which the first line stays.
+1. How often each word occurs is counted over all texts, in a sketch of a bounded number of counters. A word's rank is
+   its counter followed by its hash, so ranks order words by rarity, and alike everywhere, which is all that the prefix
+   filter needs; a word whose counter is 1 occurs once and in no match. A set is the sorted array of its ranks.
+2. Lines of equal sets are one class, of which the first line stays. The sets of the most frequent lines are bounded in
+   number and sent to the lines, so that no task gets all copies of one line.
 3. Two sets above the threshold share a word among the rarest ``n - ceil(threshold * n) + 1`` of each (prefix filter).
    Pairs that share one are tested by length, by the word's positions, and by the number of differing bits of parity
    bitmaps, which is at most the size of the symmetric difference. What is left is verified on the words themselves.
@@ -16,33 +17,48 @@ similarity of at least ``threshold`` with it. Lines of fewer than ``min_words``
 5. Sets of fewer than eight words match at most sets with one word more or less; these are found by the sets' hashes,
    with each word left out in turn, as their prefixes would be common words.
 
-Nulls count as empty texts, repeated rows (equal id and text) as one document. Lines without a word stay. Null ids come
-first. Empty tables give empty tables. Ids are whole numbers. Everything is built of SQL functions.
+Nulls count as empty texts, repeated rows (equal id and text) as one document. Null ids come first. Empty tables give
+empty tables. Ids are whole numbers; others are refused. Everything is built of SQL functions.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tesserae.llm.quality import let
 from tesserae.storage import cut
 
-BLANK = r"[\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\f\r"
+#: White space that isn't a space or a line end.
+OTHER_BLANKS = "\t\x0b\f\r"
 #: Sets of fewer words match only sets that have one word more or less, at thresholds from 0.8 on.
 LEAST = 8
+#: At most so many line sets are sent to every task because of how often they occur.
+FREQUENT = 4096
+
+
+def spaced(text: Column) -> Column:
+    """The text with spaces and line ends as its only white space."""
+    odd = F.contains(text, F.lit(OTHER_BLANKS[0]))
+    for c in OTHER_BLANKS[1:]:
+        odd = odd | F.contains(text, F.lit(c))
+    return F.when(odd, F.translate(text, OTHER_BLANKS, " " * len(OTHER_BLANKS))).otherwise(text)
 
 
 def hashes(line: Column) -> Column:
-    """The distinct words' hashes; of a line without a word one hash."""
-    return F.array_distinct(F.transform(F.split(F.btrim(line, F.lit(SPACES)), BLANK), lambda w: F.xxhash64(w)))
+    """The distinct words' hashes, of a line that ``spaced`` has given; splitting at one character needs no pattern."""
+    blanks = line.startswith(" ") | line.endswith(" ") | F.contains(line, F.lit("  "))
+    words = F.split(F.when(blanks, F.regexp_replace(F.trim(line), " +", " ")).otherwise(line), " ")
+    return F.when(F.trim(line) != "", F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).otherwise(F.array().cast("array<long>"))
 
 
 def sketch(texts: DataFrame, bits: int) -> DataFrame:
     """One row: an array of 2**bits bytes, the logarithm of the number of words with such a hash."""
     spark = texts.sparkSession
-    words = texts.select(F.explode(F.split("t", BLANK)).alias("w")).select(F.xxhash64("w").bitwiseAND((1 << bits) - 1).alias("k"))
+    words = texts.select(F.explode(F.split(F.replace(F.col("t"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w != ''").select(F.xxhash64("w").bitwiseAND((1 << bits) - 1).alias("k"))
     counts = words.groupBy("k").agg(F.count("*").alias("n"))
     code = F.when(F.col("n") <= 1, 0).otherwise(1 + F.floor(2 * F.log2("n")))
     every = spark.range(1 << bits).withColumnRenamed("id", "k").join(counts, "k", "left").select("k", F.coalesce(F.least(code, F.lit(120)), F.lit(0)).cast("byte").alias("c"))
@@ -64,73 +80,95 @@ def near(x: dict[str, Column], y: dict[str, Column], threshold: float) -> Column
     return length & position & bitmap
 
 
-def matches(pairs: DataFrame, lines: DataFrame, threshold: float, small: int) -> DataFrame:
+def matches(pairs: DataFrame, spots: DataFrame, texts: DataFrame, threshold: float, small: int) -> DataFrame:
     """Those of ``pairs`` (x, y: first lines of classes) whose words' Jaccard similarity reaches the threshold.
-    ``lines``: o, line; only the lines that ``pairs`` names are turned into sets."""
-    wanted = cut(pairs.select(F.col("x").alias("o")).unionByName(pairs.select(F.col("y").alias("o"))).distinct(), "lines-wanted")
-    named = F.broadcast(wanted) if wanted.count() <= small else wanted
-    sets = cut(lines.join(named, "o").select("o", hashes(F.col("line")).alias("s")).dropDuplicates(["o"]), "lines-sets")
-    both = pairs.join(sets.select(F.col("o").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("o").alias("y"), F.col("s").alias("sy")), "y")
+    ``spots``: o, i, h, p; ``texts``: i, h, t. Only lines that ``pairs`` names become sets."""
+    ends = cut(pairs.select(F.explode(F.array("x", "y")).alias("o")).distinct(), "lines-ends")
+    few = ends.count() <= small
+    wanted = spots.join(F.broadcast(ends) if few else ends, "o").groupBy(F.col("i").alias("j"), F.col("h").alias("g")).agg(F.collect_set(F.struct("o", "p")).alias("at"))
+    found = texts.join(F.broadcast(wanted) if few else wanted, F.col("i").eqNullSafe(F.col("j")) & (F.col("h") == F.col("g"))).select("at", F.split("t", "\n").alias("lines"))
+    found = found.select(F.explode(F.transform("at", lambda a: F.struct(a["o"].alias("o"), F.get("lines", a["p"]).alias("line")))).alias("x"))
+    sets = cut(found.select("x.o", hashes(F.col("x.line")).alias("s")).dropDuplicates(["o"]), "lines-sets")
+    side = lambda end: sets.select(F.col("o").alias(end), F.col("s").alias(f"s{end}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
     shared = F.size(F.array_intersect("sx", "sy"))
     return both.where(shared >= at_least(F.size("sx"), F.size("sy"), threshold)).select("x", "y")
 
 
-def removed_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 3, bits: int = 22, few: int = 512, small: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: float = 0.8, bits: int = 22, few: int = 512, small: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``i, h, lines``: for each document (id and hash of text) its removed lines' numbers from 0, and how they match."""
     if not 0.8 <= threshold <= 1:
         raise ValueError("thresholds from 0.8 on are supported")
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers")
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    seen = texts.agg(F.max("i").alias("high"), F.min("i").alias("low"), F.max(F.length("t")).alias("long")).first()
+    seen = texts.agg(F.max("i").alias("high"), F.min("i").alias("low"), F.max(F.octet_length("t")).alias("long")).first()
     low, high, long = seen["low"] or 0, seen["high"] or 0, seen["long"] or 0
     step = max(1, long + 1)  # no text has as many lines
     # a line's place in the order of all lines, as one number
     kind = "long" if (high - low + 2) * step < 1 << 62 else "decimal(38,0)"
     place = F.coalesce(F.col("i").cast(kind) - F.lit(low).cast(kind) + 1, F.lit(0).cast(kind)) * F.lit(step).cast(kind) + F.col("p").cast(kind)
-    cells = texts.select("i", F.xxhash64("t").alias("h"), F.posexplode(F.split("t", "\n")).alias("p", "line")).select("i", "h", "p", place.alias("o"), "line")
+    texts = texts.select("i", F.xxhash64("t").alias("h"), spaced(F.col("t")).alias("t"))
+    cells = texts.select("i", "h", F.posexplode(F.split("t", "\n")).alias("p", "line")).select("i", "h", "p", place.alias("o"), "line")
 
     counters = sketch(texts, bits)
     once = F.lit(1 << 56)
     rank = lambda c, h: F.shiftleft(F.get(c, h.bitwiseAND((1 << bits) - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-
-    def told(x: Column) -> Column:
-        s, n = x["s"], F.size(x["s"])
-        size = (n - F.ceil(threshold * n - 1e-9) + 1).cast("int")
-        bitmap = F.aggregate(s, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))))
-        rare = F.slice(F.sort_array(F.transform(s, lambda h: rank(x["c"], h))), F.lit(1), size)
-        prefix = F.when(n >= LEAST, let(rare, lambda r: F.struct(F.transform(F.filter(r, lambda k: k >= once), lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int")).alias("a"), F.size(F.filter(r, lambda k: k < once)).alias("skip"))))
-        return F.struct(n.alias("n"), bitmap.alias("b"), F.xxhash64(s).alias("c1"), F.xxhash64(F.lit(1), s).alias("c2"), prefix.alias("x"), F.when(n <= LEAST, s).alias("few"))
-
-    # The sketch stays a subquery's value. Were it a column that some operator hands on, every line's row would hold a
-    # copy; so it is named once, within one expression, and this expression also holds all else that needs the words.
-    packed = cells.withColumn("sketch", counters.scalar()).select("i", "h", "p", "o", let(F.struct(F.sort_array(hashes(F.col("line"))).alias("s"), F.col("sketch").alias("c")), told).alias("t"))
-    lines = packed.select("i", "h", "p", "o", "t.n", "t.b", "t.c1", "t.c2", F.coalesce("t.x.a", F.array().cast("array<int>")).alias("a"), F.coalesce("t.x.skip", F.lit(0)).alias("skip"), "t.few")
-    lines = cut(lines, "lines").where(F.col("n") >= min_words)
-
-    classes = lines.groupBy("c1", "c2").agg(F.min("o").alias("first"), F.count("*").alias("many")).where("many > 1")
-    again = cut(lines.select("i", "h", "p", "o", "c1", "c2").join(classes, ["c1", "c2"]).where("o > first").select("i", "h", "p", "o"), "lines-again")
-    copies = again.select("o")
+    # the sketch is a subquery's value, named once, so no row holds a copy of it
+    ranked = cells.withColumn("sketch", counters.scalar()).select("i", "h", "p", "o", F.sort_array(F.transform(hashes(F.col("line")), lambda w: rank(F.col("sketch"), w))).alias("s"))
+    n = F.size("s")
+    size = (n - F.ceil(threshold * n - 1e-9) + 1).cast("int")
+    rare = F.slice("s", 1, F.greatest(size, F.lit(0)))
+    # a parity bit for each of the 64 values of the hash's six upper bits; shifts take their length modulo 64
+    bitmap = F.aggregate("s", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(k, 50).cast("int"))))
+    prefix = F.filter(rare, lambda k: k >= once)
+    # words with fewer occurrences than this code are surely in at most `few` classes; they come first
+    surely = F.lit((1 + math.floor(2 * math.log2(few + 1))) << 56)
+    slim = lambda a: F.transform(a, lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))
+    none = F.array().cast("array<int>")
+    lines = ranked.select(
+        "i", "h", "p", "o", n.alias("n"), F.when(n >= LEAST, bitmap).otherwise(F.lit(0).cast("long")).alias("b"), F.xxhash64("s").alias("c1"), F.xxhash64(F.lit(1), "s").alias("c2"),
+        F.when(n >= LEAST, slim(prefix)).otherwise(none).alias("a"), F.when(n >= LEAST, F.size(F.filter(rare, lambda k: (k >= once) & (k < surely)))).otherwise(F.lit(0)).alias("sure"),
+        size.alias("size"), F.when(n <= LEAST, F.col("s")).alias("few"),
+    )
+    lines = cut(lines, "lines").where("n > 0").withColumn("skip", F.col("size") - F.size("a"))
+
+    classes = cut(lines.groupBy("c1", "c2").agg(F.min("o").alias("first"), F.count("*").alias("many")).where("many > 1"), "lines-classes")
+    members = lines.select("i", "h", "p", "o", "c1", "c2")
+    if classes.count() <= small:
+        again = members.join(F.broadcast(classes), ["c1", "c2"])
+    else:  # all lines of one frequent set would meet in one task, so these sets are sent to the lines
+        hot = cut(classes.orderBy(F.desc("many"), "c1", "c2").limit(FREQUENT), "lines-frequent")
+        rest = members.join(F.broadcast(hot.select("c1", "c2")), ["c1", "c2"], "left_anti").join(classes, ["c1", "c2"])
+        again = members.join(F.broadcast(hot), ["c1", "c2"]).unionByName(rest)
+    again = cut(again.where("o > first").select("i", "h", "p", "o"), "lines-again")
+    spots, copies = lines.select("o", "i", "h", "p"), again.select("o")
     first = lines.join(F.broadcast(copies) if again.count() <= small else copies, "o", "left_anti")
 
     # Of prefix words with at most `few` classes all pairs are tested; the rows of more common words are kept apart for
-    # the two steps below, which pair no group in full, and aren't sent anywhere before they are told apart.
-    common = cut(first.select(F.explode("a").alias("w")).groupBy("w").agg(F.count("*").alias("many")).where(F.col("many") > few).select("w"), "lines-common")
+    # the two steps below, which pair no group in full, and aren't sent anywhere before they are told apart. The
+    # sketch tells most words that are surely not common, so only the others are counted.
+    def prefixes(a: Column, before: Column) -> DataFrame:
+        return first.select("o", "n", "b", before.alias("before"), F.posexplode(a).alias("k", "w")).select("w", "o", "n", (F.col("before") + F.col("k")).alias("p"), "b")
+
+    rest = prefixes(F.slice("a", F.col("sure") + 1, F.size("a")), F.col("skip") + F.col("sure"))
+    common = cut(rest.groupBy("w").agg(F.count("*").alias("many")).where(F.col("many") > few).select("w"), "lines-common")
     common = F.broadcast(common) if common.count() <= small else common
-    prefix = first.where(F.size("a") > 0).select("o", "n", "b", "skip", F.posexplode("a").alias("k", "w")).select("w", "o", "n", (F.col("skip") + F.col("k")).alias("p"), "b")
     row = lambda end: {"n": F.col(f"n{end}"), "p": F.col(f"p{end}"), "b": F.col(f"b{end}")}
     named = lambda df, end: df.select("w", *[F.col(c).alias(c + end) for c in ("o", "n", "p", "b")])
-    rare = prefix.join(common, "w", "left_anti")
+    rare = prefixes(F.slice("a", F.lit(1), F.col("sure")), F.col("skip")).unionByName(rest.join(common, "w", "left_anti"))
     # both sides are the same plan, names included, so that its rows are sent once
     of = lambda side: {c: F.col(f"{side}.{c}") for c in ("n", "p", "b")}
     met = rare.alias("x").join(rare.alias("y"), F.col("x.w") == F.col("y.w")).where((F.col("y.o") < F.col("x.o")) & near(of("x"), of("y"), threshold)).select(F.col("x.o").alias("x"), F.col("y.o").alias("y"))
-    shared = cut(prefix.join(common, "w", "left_semi"), "lines-shared")
+    shared = cut(rest.join(common, "w", "left_semi"), "lines-shared")
     hubs = shared.groupBy("w").agg(F.min("o").alias("oy"), F.min_by("n", "o").alias("ny"), F.min_by("p", "o").alias("py"), F.min_by("b", "o").alias("by"))
     early = named(shared, "x").join(hubs, "w").where((F.col("ox") > F.col("oy")) & near(row("x"), row("y"), threshold)).select(F.col("ox").alias("x"), F.col("oy").alias("y"))
     pairs = met.unionByName(early).distinct()
-    matched = cut(matches(cut(pairs, "lines-pairs"), cells, threshold, small), "lines-matched")
+    matched = cut(matches(cut(pairs, "lines-pairs"), spots, texts, threshold, small), "lines-matched")
 
     later = named(shared, "x").join(matched.select(F.col("x").alias("ox")).distinct(), "ox", "left_anti")
-    rest = later.join(named(shared, "y"), "w").where((F.col("oy") < F.col("ox")) & near(row("x"), row("y"), threshold)).select(F.col("ox").alias("x"), F.col("oy").alias("y")).distinct()
-    more = matches(cut(rest, "lines-rest"), cells, threshold, small)
+    late = later.join(named(shared, "y"), "w").where((F.col("oy") < F.col("ox")) & near(row("x"), row("y"), threshold)).select(F.col("ox").alias("x"), F.col("oy").alias("y")).distinct()
+    more = matches(cut(late, "lines-rest"), spots, texts, threshold, small)
 
     # sets of under eight words: one is the other and one more
     short = first.where(F.col("n").between(4, LEAST - 1)).select("c1", "c2", "o")
@@ -148,7 +186,8 @@ def dedup(docs: DataFrame, small: int = 1_000_000, id_col: str = "doc_id", text_
     """``docs`` with all its columns, less the removed lines of the text. Texts without a removed line stay as they
     are, nulls too."""
     gone = cut(removed_lines(docs, small=small, id_col=id_col, text_col=text_col, **how).select(F.col("i").alias("_gone_i"), F.col("h").alias("_gone_h"), F.col("lines").alias("_gone")), "lines-gone")
-    gone = F.broadcast(gone) if gone.count() <= small else gone  # else texts are sent to the rows, once
+    held = gone.agg(F.count("*").alias("n"), F.sum(F.size("_gone")).alias("lines")).first()
+    gone = F.broadcast(gone) if 4 * held["n"] + (held["lines"] or 0) <= 4 * small else gone  # else texts are sent to the rows, once
     names = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # no column can clash with the ones that are added
     text = F.col(names[text_col])
     known = docs.select(*[F.col(c).alias(to) for c, to in names.items()]).withColumn("_h", F.xxhash64(F.coalesce(text, F.lit(""))))

@@ -8,7 +8,7 @@ WORDS = r"'[^\x20\x09-\x0D]+'"
 LINE_DEDUP = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS p FROM documents),
 t AS (SELECT doc_id, p, doc_id * 1000000 + p AS spot, list_sort(list_distinct(regexp_extract_all(line, {WORDS}))) AS s FROM l),
-k AS (SELECT * FROM t WHERE len(s) >= 3),
+k AS (SELECT * FROM t WHERE len(s) >= 1),
 c AS MATERIALIZED (SELECT s, min(spot) AS o FROM k GROUP BY s),
 tok AS (SELECT o, len(s) AS n, unnest(s) AS w FROM c),
 df AS (SELECT w, count(*) AS d FROM tok GROUP BY w),

@@ -3,6 +3,7 @@ import re
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.llm import line_dedup as D
 from tests.llm.conftest import make
@@ -10,13 +11,13 @@ from tests.llm.conftest import make
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(rows, threshold=Fraction(4, 5), least=3):
+def brute(rows, threshold=Fraction(4, 5)):
     """Every line against every earlier one."""
     seen, gone = [], {}
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         for p, line in enumerate((text or "").split("\n")):
             s = frozenset(WORD.findall(line))
-            if len(s) < least:
+            if not s:
                 continue
             if any(len(s & t) >= threshold * len(s | t) for t in seen):
                 gone.setdefault(i, []).append(p)
@@ -43,7 +44,7 @@ def test_made_lines(spark, bits):
     for _ in range(60):
         lines = []
         for _ in range(random.randint(1, 6)):
-            n = random.choice([3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 20, 30])
+            n = random.choice([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 20, 30])
             words = [f"w{min(int(random.expovariate(0.15)), 45)}" for _ in range(n)]
             lines.append(" ".join(words))
             if random.random() < 0.5:  # a variant: words added, dropped or replaced
@@ -75,6 +76,24 @@ def test_odd_and_empty(odd, empty):
     assert D.dedup(empty, bits=10).count() == 0
 
 
+def test_lines_of_one_and_two_words_and_any_white_space(spark):
+    texts = ["Les.\nyes no\n-", "no yes\nLes.\n \t\x0b", "one\ttwo\x0cthree\rfour", "日本語日本語\n\n日本語日本語", "  four three two  one ", "yes\tyes no"]
+    check(make(spark, texts), bits=12)
+    got = {r["doc_id"]: r["removed_lines"] for r in D.report(make(spark, texts), bits=12).collect()}
+    assert got == {0: "", 1: "0,1", 2: "", 3: "2", 4: "0", 5: "0"}
+
+
+def test_large_tables_take_the_same_way(small, spark):
+    """With nothing counted as small, rows meet by shuffling; results stay."""
+    say = lambda **how: sorted(map(tuple, D.report(small, **how).collect()))
+    assert say(small=0) == say()
+
+
+def test_ids_are_whole_numbers(small):
+    with pytest.raises(TypeError):
+        D.report(small.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_low_thresholds_are_refused(small):
     with pytest.raises(ValueError):
         D.report(small, threshold=0.5)
