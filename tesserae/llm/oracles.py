@@ -39,7 +39,11 @@ SELECT doc_id, class_id, coalesce(n, 0)::bigint AS n_links FROM classes LEFT JOI
 """
 
 _PARAGRAPHS = "list_transform(string_split({t}, chr(10)), lambda x, i: CASE WHEN i < len(string_split({t}, chr(10))) THEN x || chr(10) ELSE x END)"
-_TREE = "list_transform({p}, lambda x: list_transform(string_split(regexp_replace(x, '([.!?;:] )', '\\1' || chr(1), 'g'), chr(1)), lambda s: sha256(s)))"
+_SENTENCES = "string_split(regexp_replace({x}, '([.!?;:] )', '\\1' || chr(1), 'g'), chr(1))"
+#: Pieces of a long sentence: after units (words with their space, or characters) whose MD5 starts with 0, and each 256th.
+_UNITS = "CASE WHEN contains(rtrim({s}, ' ' || chr(10)), ' ') THEN string_split(regexp_replace({s}, ' ', ' ' || chr(1), 'g'), chr(1)) ELSE string_split({s}, '') END"
+_PIECES = "string_split(array_to_string(list_transform({u}, lambda y, i: CASE WHEN md5(y)[1] = '0' OR i % 256 = 0 THEN y || chr(10) ELSE y END), ''), chr(10))"
+_TREE = "list_transform({p}, lambda x: flatten(list_transform(" + _SENTENCES.format(x="x") + ", lambda s: CASE WHEN length(s) > 256 THEN " + _PIECES.format(u="(" + _UNITS.format(s="s") + ")") + " ELSE [s] END).list_transform(lambda z: list_transform(z, lambda q: sha256(q)))))"
 
 
 def _steps(name: str, source: str, text: str) -> str:

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +55,34 @@ def test_root_is_the_merkle_root(spark):
     assert said == f"{sha(section)}:{section[:12]}:" + ".".join(h[:12] for p in paragraphs for h in p)
 
 
+def cuts(s):
+    """What a sentence is parted into."""
+    if len(s) <= 256:
+        return [s]
+    body = s.replace("\n", "").rstrip(" ")
+    units = re.findall(r"[^ ]* |[^ ]+$", s) + ([""] if s.endswith(" ") else []) if " " in body else list(s)
+    return "".join(u + "\n" * (hashlib.md5(u.encode()).hexdigest()[0] == "0" or i % 256 == 255) for i, u in enumerate(units)).split("\n")
+
+
+@pytest.mark.parametrize("text", ["word " * 400, " ".join(f"w{k}" for k in range(500)) + "\n", "日本語テキスト" * 200, "x" * 1000, "".join(chr(0x4E00 + k * 7 % 3000) for k in range(900)), "a" * 256, "a b" * 100 + " \n"])
+def test_pieces_of_long_sentences(spark, text):
+    got = spark.createDataFrame([(text,)], "t string").select(P.pieces(F.col("t"))).first()[0]
+    assert [x for x in got if x] == [x for x in cuts(text) if x] and "".join(got).replace("\n", "") == text.replace("\n", "")
+
+
+def test_texts_without_a_sentence_end_keep_their_unchanged_pieces(spark):
+    words = [f"w{k * 7919 % 1000}" for k in range(600)]
+    kanji = "".join(chr(0x4E00 + k * 7919 % 5000) for k in range(2000))
+    for a, b in ((" ".join(words), " ".join(words[:300] + ["changed"] + words[301:])), (kanji, kanji[:900] + "X" + kanji[900:])):
+        r = spark.createDataFrame([(a, b)], "a string, b string").select(P.likeness(P.fingerprint(F.col("a")), P.fingerprint(F.col("b")))).first()[0]
+        assert 0.85 < r < 1
+
+
+def test_ids_are_whole_numbers(small):
+    with pytest.raises(TypeError):
+        P.compare_edited(small.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_odd_and_empty(odd, empty):
     rows = P.compare_edited(odd).collect()
     assert len(rows) == odd.count()
