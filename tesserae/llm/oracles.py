@@ -92,11 +92,15 @@ counted AS (SELECT l, w, count(*) AS n FROM spoken GROUP BY l, w),
 best AS (SELECT l, w, n::double / sum(n) OVER (PARTITION BY l) AS q, row_number() OVER (PARTITION BY l ORDER BY n DESC, w) AS k FROM counted),
 top AS MATERIALIZED (SELECT l, w, q FROM best WHERE k <= 40),
 alls AS (SELECT l, sum(q) AS all_of FROM top GROUP BY l),
-own AS (SELECT doc_id, l, w, count(*) / greatest(1.0::double, max(m)) AS p FROM (SELECT doc_id, l, unnest(a) AS w, len(a) AS m FROM d) GROUP BY doc_id, l, w),
-met AS (SELECT doc_id, sum(p) AS said, sum(q) AS there, sum({_PART.format(p='p', q='q')}) AS parts FROM own JOIN top USING (l, w) GROUP BY doc_id),
-dist AS (SELECT cls.*, sqrt(greatest(0, list_sum(list_transform(range(1, 7), lambda k: {_PART.format(p='c[k]', q='r[k]')})) / 2)) AS cd,
+known AS MATERIALIZED (SELECT l, r, all_of FROM ref JOIN alls USING (l)),
+held AS MATERIALIZED (SELECT doc_id, c, known.* FROM cls JOIN known ON known.l = cls.l OR NOT EXISTS (SELECT 1 FROM known k WHERE k.l = cls.l)),
+own AS (SELECT doc_id, w, count(*) / greatest(1.0::double, max(m)) AS p FROM (SELECT doc_id, unnest(a) AS w, len(a) AS m FROM d) GROUP BY doc_id, w),
+met AS (SELECT doc_id, l, sum(p) AS said, sum(q) AS there, sum({_PART.format(p='p', q='q')}) AS parts FROM own JOIN held USING (doc_id) JOIN top USING (l, w) GROUP BY doc_id, l),
+near AS (SELECT held.doc_id, sqrt(greatest(0, list_sum(list_transform(range(1, 7), lambda k: {_PART.format(p='c[k]', q='r[k]')})) / 2)) AS cd,
   sqrt(greatest(0, (coalesce(parts, 0) + {_PART.format(p='(1 - coalesce(said, 0))', q='(1 - all_of)')} + all_of - coalesce(there, 0)) / 2)) AS wd
-  FROM cls LEFT JOIN ref USING (l) LEFT JOIN alls USING (l) LEFT JOIN met USING (doc_id))
+  FROM held LEFT JOIN met ON met.doc_id = held.doc_id AND met.l = held.l),
+best_of AS (SELECT doc_id, arg_min(cd, cd + wd) AS cd, arg_min(wd, cd + wd) AS wd FROM near GROUP BY doc_id),
+dist AS (SELECT cls.*, cd, wd FROM cls LEFT JOIN best_of USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
 NOT base_failed AND NOT coalesce(cd > 0.12 + 2.5 / sqrt(greatest(word_chars, 1)) OR wd > 0.25 + 2.0 / sqrt(greatest(n_words, 1)), false) AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM dist
 """

@@ -6,8 +6,10 @@ pass the base rules, that of words the share of its ``top`` most frequent words
 far by chance, so a limit is ``limit + slack / sqrt(n)``, and texts under ``min_words`` fail by the base rules and get
 no verdict of the method.
 
-Nulls count as empty texts. Texts of no language, or of one without a text that passes the base rules, have no
-reference: the base rules alone decide. Repeated rows get equal results; ties between equally frequent words go to the
+Nulls count as empty texts. Texts of no language, or of one without a text that passes the base rules, are held
+against the reference that is nearest to them by the sum of both distances; without any reference the base rules alone
+decide. References, at most ``most_languages`` of them, are sent to the rows, so no task gets all texts of a language.
+More languages than that are refused with a ValueError. Repeated rows get equal results; ties between equally frequent words go to the
 first by code point; an empty table gives an empty table. Everything is built of SQL functions.
 """
 
@@ -90,7 +92,7 @@ def total(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
 
 
-def assess(docs: DataFrame, min_words: int = 50, repeat_percent: int = 50, top: int = 40, class_limit: float = 0.12, class_slack: float = 2.5, word_limit: float = 0.25, word_slack: float = 2.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def assess(docs: DataFrame, min_words: int = 50, repeat_percent: int = 50, top: int = 40, class_limit: float = 0.12, class_slack: float = 2.5, word_limit: float = 0.25, word_slack: float = 2.0, most_languages: int = 4096, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance,
     word_distance`` for each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -105,6 +107,8 @@ def assess(docs: DataFrame, min_words: int = 50, repeat_percent: int = 50, top:
     references = best.join(whole, "l").groupBy("l").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("w", (F.col("n") / F.col("all")).alias("q"))))).alias("words"))
     references = references.withColumn("all_of", total(F.map_values("words")))
     references = cut(references, "quality-reference")
+    if references.count() > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     common = sorted({w for r in references.select(F.map_keys("words").alias("w")).collect() for w in r["w"]}) or [""]
 
     rows = rows.withColumn("w", F.filter(F.split("t", BLANK), lambda x: x != "")).withColumn("a", letters(F.col("t")))
@@ -124,15 +128,25 @@ def assess(docs: DataFrame, min_words: int = 50, repeat_percent: int = 50, top:
     digest = cut(digest.withColumn("base_failed", failed).withColumn("c", F.transform("c", lambda x: x / F.greatest(F.lit(1.0), total(F.col("c"))))), "quality")
     classes = digest.where("not base_failed and l is not null").groupBy("l").agg(F.array(*[F.avg(F.col("c")[k]) for k in range(6)]).alias("classes"))
 
-    each = digest.join(classes, "l", "left").join(references, "l", "left")
-    gap = total(F.transform(F.arrays_zip("c", "classes"), lambda z: share_part(z["c"], z["classes"])))
+    known = references.join(classes, "l").select(F.struct("l", "words", "all_of", "classes").alias("r"))
+    known = cut(known.groupBy().agg(F.array_sort(F.collect_list("r"), lambda x, y: F.when(x["l"] < y["l"], -1).otherwise(1)).alias("r")), "quality-known")
+    each = digest.withColumn("r", known.scalar())
     p = lambda n: n / F.greatest(F.lit(1.0), F.col("spoken").cast("double"))
-    # share here and in the reference of each reference word that the text has
-    own = F.filter(F.transform("h", lambda x: F.struct(p(x["n"]).alias("p"), F.element_at("words", x["w"]).alias("q"))), lambda x: x["q"].isNotNull())
-    start = F.struct(F.lit(0.0).alias("said"), F.lit(0.0).alias("there"), F.lit(0.0).alias("parts"))
-    add = lambda a, x: F.struct((a["said"] + x["p"]).alias("said"), (a["there"] + x["q"]).alias("there"), (a["parts"] + share_part(x["p"], x["q"])).alias("parts"))
-    # words that the text lacks add their reference share in full
-    spread = F.aggregate(own, start, add, lambda a: a["parts"] + share_part(1 - a["said"], 1 - F.col("all_of")) + (F.col("all_of") - a["there"]))
-    each = each.withColumn("class_distance", F.sqrt(F.greatest(gap / 2, F.lit(0.0)))).withColumn("word_distance", F.sqrt(F.greatest(spread / 2, F.lit(0.0))))
+
+    def held(r: Column) -> Column:
+        """Both distances to one reference."""
+        gap = total(F.transform(F.arrays_zip(F.col("c").alias("a"), r["classes"].alias("b")), lambda z: share_part(z["a"], z["b"])))
+        # share here and in the reference of each reference word that the text has
+        own = F.filter(F.transform("h", lambda x: F.struct(p(x["n"]).alias("p"), F.element_at(r["words"], x["w"]).alias("q"))), lambda x: x["q"].isNotNull())
+        start = F.struct(F.lit(0.0).alias("said"), F.lit(0.0).alias("there"), F.lit(0.0).alias("parts"))
+        add = lambda a, x: F.struct((a["said"] + x["p"]).alias("said"), (a["there"] + x["q"]).alias("there"), (a["parts"] + share_part(x["p"], x["q"])).alias("parts"))
+        # words that the text lacks add their reference share in full
+        spread = F.aggregate(own, start, add, lambda a: a["parts"] + share_part(1 - a["said"], 1 - r["all_of"]) + (r["all_of"] - a["there"]))
+        root = lambda x: F.sqrt(F.greatest(x / 2, F.lit(0.0)))
+        return let(F.struct(root(gap).alias("class"), root(spread).alias("word")), lambda d: F.struct((d["class"] + d["word"]).alias("both"), d["class"].alias("class"), d["word"].alias("word")))
+
+    every = lambda rs: F.when(F.exists(rs, lambda r: r["l"].eqNullSafe(F.col("l"))), F.filter(rs, lambda r: r["l"].eqNullSafe(F.col("l")))).otherwise(rs)
+    each = each.withColumn("d", F.array_min(F.transform(every(F.col("r")), held)))
+    each = each.withColumn("class_distance", F.col("d.class")).withColumn("word_distance", F.col("d.word"))
     far = (F.col("class_distance") > class_limit + class_slack / F.sqrt(F.greatest("word_chars", F.lit(1)))) | (F.col("word_distance") > word_limit + word_slack / F.sqrt(F.greatest("n_words", F.lit(1))))
     return each.select(F.col("i").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"), F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
