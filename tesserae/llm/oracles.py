@@ -131,16 +131,14 @@ def _spans(name: str, source: str) -> str:
     return f"{name} AS MATERIALIZED ({' UNION ALL '.join(parts)})"
 
 
-_TERMS = "list_filter(list_distinct(string_split_regex(lower({t}), '[^\\p{{L}}]+')), lambda w: length(w) >= 4)"
+_TERMS = "list_filter(list_distinct(string_split_regex(lower({t}), '[^\\p{{L}}]+')), lambda w: w <> '')"
 _SAID = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop), '')"
 
 PII = f"""
 WITH d AS MATERIALIZED (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents),
 {_spans('base', 'd')},
-cells AS MATERIALIZED (SELECT row_number() OVER () AS id, whole, t FROM (SELECT t AS whole, unnest(string_split(t, chr(10))) AS t FROM d WHERE id IN (SELECT id FROM base))),
-{_spans('marks', 'cells')},
-near AS MATERIALIZED (SELECT whole, cells.id, list_distinct(list(kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN {_DIGITS} ELSE lower(v) END)) AS entities, {_TERMS.format(t="list_reduce(list_prepend(any_value(t), list(v ORDER BY start, rank)), lambda a, x: replace(a, x, ' '))")} AS w
-  FROM marks JOIN cells USING (id) GROUP BY whole, cells.id),
+near AS MATERIALIZED (SELECT t AS whole, list_distinct(list(kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN {_DIGITS} ELSE lower(v) END)) AS entities, any_value({_TERMS.format(t=f"regexp_replace(t, '{_KINDS['email']}', ' ', 'g')")}) AS w
+  FROM base JOIN d USING (id) GROUP BY t),
 pairs AS (SELECT DISTINCT whole, entity, unnest(w) AS term FROM (SELECT whole, w, unnest(entities) AS entity FROM near)),
 joint AS (SELECT entity, term, count(*)::double AS n FROM pairs GROUP BY ALL HAVING count(*) >= 3),
 own AS (SELECT entity, count(DISTINCT whole)::double AS n FROM (SELECT whole, unnest(entities) AS entity FROM near) GROUP BY entity),

@@ -1,16 +1,17 @@
 """Information-theoretic sanitisation of personal data.
 
 Protected entities are the e-mail addresses, IP addresses, payment-card and phone numbers in the texts. How strongly a
-term reveals an entity is estimated from the corpus: over distinct texts, the pointwise mutual information of term and
-entity, ``log2(p(term, entity) / (p(term) p(entity)))``, against the entity's own information ``-log2 p(entity)``. A
-term whose share reaches ``disclosure``, and that stands in a line with the entity in at least ``support`` distinct
-texts, discloses it; every occurrence of such a term is a span of kind ``term`` beside those of the entities. In the
-sanitised text entities are generalised to their kind and disclosing terms removed.
+term (a run of letters, in lower case) reveals an entity is estimated from the corpus: over distinct texts, the
+pointwise mutual information of term and entity, ``log2(p(term, entity) / (p(term) p(entity)))``, against the entity's
+own information ``-log2 p(entity)``. A term whose share reaches ``disclosure``, and that stands in at least ``support``
+distinct texts with the entity, discloses it; every occurrence of such a term is a span of kind ``term`` beside those
+of the entities. In the sanitised text entities are generalised to their kind and disclosing terms removed.
 
 Patterns never cross a line end, and matches are leftmost and non-overlapping for each kind. Offsets are code points,
-ends exclusive. Nulls count as empty texts and give no span. Repeated rows get equal spans and count as one text. An
-empty table gives an empty table. Everything is built of SQL functions. A term's count is made by joining the words
-of all texts with the candidate terms only, so rows grow with the matches.
+ends exclusive; places of n matches take n times the root of n steps. Nulls count as empty texts and give no span.
+Repeated rows get equal spans and count as one text. An empty table gives an empty table. Everything is built of SQL
+functions. A term's count is made by joining the words of all texts with the candidate terms only, so rows grow with
+the matches; terms too frequent to disclose an entity are told by their count before they are paired with it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.quality import let
 from tesserae.storage import cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -64,16 +66,27 @@ def spans_of(kind: str, text: Column) -> Column:
 
 
 def placed(found: Column, between: Column, kind: str, rank: int, keep) -> Column:
-    """Matches with their offsets, of which ``keep`` holds."""
-    def all_of(x: Column) -> Column:
-        m, gaps = x["m"], F.transform(x["g"], F.length)
-        sizes = F.transform(m, F.length)
-        run = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, v: s + v)
-        start = lambda i: run(gaps, i + 1) + run(sizes, i)
-        rows = F.transform(m, lambda v, i: F.struct(start(i).alias("start"), F.lit(rank).alias("rank"), (start(i) + F.length(v)).alias("end"), F.lit(kind).alias("kind"), v.alias("value")))
-        return F.filter(rows, lambda r: keep(r["value"]))
+    """Matches with their offsets, of which ``keep`` holds. Running sums are taken in chunks of about the root of
+    their number, and over the chunks."""
+    summed = lambda a: F.aggregate(a, F.lit(0), lambda s, v: s + v)
 
-    return F.transform(F.array(F.struct(found.alias("m"), between.alias("g"))), all_of)[0]
+    def rows(x: Column) -> Column:
+        m, g, sizes, chunk = x["m"], x["g"], x["sizes"], x["chunk"]
+        places = F.sequence(F.lit(0), F.ceil(F.size(sizes) / chunk).cast("int"))
+
+        def of(starts: Column) -> Column:
+            def row(v: Column, i: Column) -> Column:
+                c = F.floor(i / chunk).cast("int")
+                start = starts[c] + summed(F.slice(sizes, c * chunk + 1, i - c * chunk)) + F.length(g[i])
+                return let(start, lambda at: F.struct(at.alias("start"), F.lit(rank).alias("rank"), (at + F.length(v)).alias("end"), F.lit(kind).alias("kind"), v.alias("value")))
+
+            return F.transform(m, lambda v, i: F.when(keep(v), row(v, i)))
+
+        sums = F.transform(places, lambda c: summed(F.slice(sizes, c * chunk + 1, chunk)))
+        return let(let(sums, lambda s: F.transform(places, lambda c: summed(F.slice(s, F.lit(1), c)))), of)
+
+    sized = let(F.struct(found.alias("m"), between.alias("g")), lambda x: F.struct(x["m"].alias("m"), x["g"].alias("g"), F.transform(x["m"], lambda v, i: F.length(v) + F.length(x["g"][i])).alias("sizes"), F.ceil(F.sqrt(F.size(x["m"]) + F.lit(1.0))).cast("int").alias("chunk")))
+    return F.filter(let(sized, rows), lambda r: r.isNotNull())
 
 
 def base_spans(text: Column) -> Column:
@@ -87,8 +100,8 @@ def joined(spans: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """The distinct words of at least four letters, in lower case."""
-    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.length(w) >= 4)
+    """The distinct runs of letters, in lower case."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), "")
 
 
 def entity(span: Column) -> Column:
@@ -99,20 +112,24 @@ def entity(span: Column) -> Column:
 def disclosing(docs: DataFrame, disclosure: float, support: int, small: int) -> tuple[DataFrame, DataFrame]:
     """``i, h, term`` for each text with a disclosing term, and ``term, entity, ratio``. ``docs``: i, t, h."""
     hint = "|".join(f"(?:{HINTS[k]})" for k in KINDS)
-    lines = docs.where(F.col("t").rlike(hint)).select("h", F.explode(F.split("t", "\n")).alias("line")).where(F.col("line").rlike(hint))
-    marked = lines.select("h", "line", base_spans(F.col("line")).alias("s")).where(F.size("s") > 0)
-    # the entities' own letters aren't terms
-    bare = F.aggregate("s", F.col("line"), lambda t, s: F.replace(t, s["value"], F.lit(" ")))
-    near = cut(marked.select("h", F.explode(F.array_distinct(F.transform("s", entity))).alias("entity"), words(bare).alias("w")), "pii-lines")
-    texts = docs.select("h").distinct().count()
-    ic = F.log2(F.lit(float(max(1, texts))) / F.col("with_entity"))
-    pmi = lambda with_term: F.log2(F.col("both") * F.lit(float(max(1, texts))) / (F.col(with_term) * F.col("with_entity")))
-    own = near.select("h", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    together = near.select("h", "entity", F.explode("w").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    # a term stands in at least as many texts as among these lines, so pairs that fall short here do so in the corpus:
-    # common words need no count over all texts
-    at_least = near.select("h", F.explode("w").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("with_term_here"))
-    together = together.join(own, "entity").where(ic > 0).join(at_least, "term").where(pmi("with_term_here") >= disclosure * ic).select("entity", "term", "both", "with_entity")
+    marked = docs.where(F.col("t").rlike(hint)).select("h", "t", base_spans(F.col("t")).alias("s")).where(F.size("s") > 0)
+    # the entities' own letters, which only addresses have, aren't terms
+    bare = F.regexp_replace("t", PATTERNS["email"], " ")
+    near = cut(marked.select("h", F.array_distinct(F.transform("s", entity)).alias("entities"), words(bare).alias("w")), "pii-texts-with")
+    texts = float(max(1, docs.select("h").distinct().count()))
+    ic = F.log2(F.lit(texts) / F.col("with_entity"))
+    pmi = lambda with_term: F.log2(F.col("both") * F.lit(texts) / (F.col(with_term) * F.col("with_entity")))
+    own = near.select("h", F.explode("entities").alias("entity")).distinct()
+    counts = own.groupBy("entity").agg(F.count("*").alias("with_entity")).where((F.col("with_entity") >= support) & (ic > 0))
+    own = own.join(counts, "entity")
+    # A term stands in at least as many texts as among these, and with the entity in at most all the entity's: pairs
+    # that fall short by these counts do so in the corpus, so they are never made, and common words not counted.
+    spoken = near.select("h", F.explode("w").alias("term")).distinct()
+    here = spoken.groupBy("term").agg(F.count("*").alias("with_term_here")).where(F.col("with_term_here") >= support)
+    most = F.pow(F.lit(texts), F.lit(1 - disclosure)) * F.pow("with_entity", F.lit(disclosure)) * (1 + 1e-9)
+    met = own.withColumn("most", most).join(spoken.join(here, "term"), "h").where(F.col("with_term_here") <= F.col("most"))
+    together = met.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("with_entity").alias("with_entity"), F.first("with_term_here").alias("with_term_here"))
+    together = together.where((F.col("both") >= support) & (pmi("with_term_here") >= disclosure * ic)).select("entity", "term", "both", "with_entity")
     together = cut(together, "pii-pairs")
     known = together.select("term").distinct()
     # the words of all texts are only sent anywhere if the candidate terms are too many to be sent to them
@@ -126,12 +143,8 @@ def disclosing(docs: DataFrame, disclosure: float, support: int, small: int) ->
 
 
 def term_spans(text: Column, terms: Column) -> Column:
-    """Each occurrence of each term as a whole word, whatever its case."""
-    def of(term: Column) -> Column:
-        pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})"), term, F.lit(r"(?!\p{L})"))
-        return placed(F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1), "term", len(KINDS), lambda v: F.lit(True))
-
-    return F.flatten(F.transform(terms, of))
+    """Each occurrence of each term as a whole run of letters, whatever its case."""
+    return placed(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0)), F.split(text, r"\p{L}+", -1), "term", len(KINDS), lambda v: F.array_contains(terms, F.lower(v)))
 
 
 def sanitise(docs: DataFrame, disclosure: float = 0.9, support: int = 3, small: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -75,13 +75,28 @@ def test_terms_that_give_an_entity_away(spark):
 
 def test_sanitised_text(spark):
     told = [f"Please write to kim@corp.example about projekt Zanzibar today {k}" for k in range(6)]
-    plain = [f"please write about something else today number {k}" for k in range(60)]
+    plain = [f"please write to others about something else today number {k}" for k in range(60)]
     rows = {r["doc_id"]: r for r in pii.sanitise(make(spark, [*told, *plain, None])).collect()}
     assert rows[3]["sanitised"] == "Please write to [EMAIL] about   today 3"
     assert ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in rows[3]["found"]) == rows[3]["spans"]
     assert all(rows[k]["sanitised"] == plain[k - 6] for k in range(6, 66)) and rows[66]["sanitised"] is None
 
 
+def test_terms_on_other_lines_and_short_ones(spark):
+    told = [f"Xu Li\nnotes of the day {k}\n\nkim@corp.example" for k in range(4)]
+    plain = [f"notes of the day\nand of the {k} next\nother{k}@corp.example" for k in range(50)]
+    rows = {r["doc_id"]: r for r in pii.sanitise(make(spark, told + plain)).collect()}
+    assert all(r["spans"] == "term:0:2,term:3:5,email:" + r["spans"].split("email:")[1] for k, r in rows.items() if k < 4)
+    assert all(r["n_term"] == 0 for k, r in rows.items() if k >= 4)
+
+
+def test_very_many_matches(spark):
+    text = " ".join(f"10.0.{k % 256}.{k // 256 % 256}" for k in range(100_000))
+    got = make(spark, [text, text[:50]]).select("doc_id", F.size(pii.base_spans(F.col("text"))).alias("n"), pii.joined(pii.base_spans(F.col("text"))).alias("s")).collect()
+    want = ",".join(f"{k}:{a}:{b}" for a, _, b, k in base(text) if k == "ip")
+    assert got[0]["s"] == want and got[0]["n"] == 100_000
+
+
 def test_redacted(spark):
     df = spark.createDataFrame([("mail a@b.co or +1 555 010 9999 now",)], "t string")
     assert df.select(pii.redacted(F.col("t"), pii.base_spans(F.col("t")))).first()[0] == "mail [EMAIL] or [PHONE] now"
