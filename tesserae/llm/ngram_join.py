@@ -1,12 +1,15 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 A document is the set of its ``n``-word shingles (a text of fewer words is one shingle; words are what white space
-parts). Documents of equal sets are a class. Each of ``trees`` sorted tries holds the classes' labels, ``longest``
-MinHash values each. Two sets of Jaccard similarity s share the first d values of a label with probability s^d, so
-the matched prefix is shortened, value by value, until sets of the threshold's similarity meet in at least one tree
-with the target recall. Classes that share a prefix are candidates; candidates are joined to groups by stars (each
-class with the least of its bucket, never all pairs), and within a group every pair is verified exactly, in tiles of
-bounded size, by counting common shingles. Counts of links and spanning links leave a tile, not its pairs.
+parts). Documents of equal sets are a class. Each of ``trees`` prefix tries holds the classes' labels, ``longest``
+MinHash values each; two sets of Jaccard similarity s share the first d values of a label with probability s^d. The
+tries are walked from the leaves up. Classes under one node are candidates; only the node's least class goes on to the
+next shorter prefix, so what met at a long prefix isn't matched again. After each level the share of links that the
+prefixes haven't met is estimated from the number of trees in which each likely link has met; prefixes are shortened
+until that is below ``1 - recall``, or down to the length at which even links of just the threshold's similarity meet
+with that recall. Candidates are joined to groups by stars (each class with its node's least, never all pairs), and
+within a group every pair is verified exactly, in tiles of bounded size, by counting common shingles. Counts of links
+and spanning links leave a tile, not its pairs.
 
 Texts without a word are one class of their own and are linked with each other only. Nulls count as empty texts.
 Repeated rows are copies like any others. Empty tables give empty tables. A shingle is its 64-bit hash.
@@ -26,14 +29,14 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.graph import components
 from tesserae.llm.texts import map_texts, release
-from tesserae.storage import cut
+from tesserae.storage import cut, discard
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MASK = (1 << 64) - 1
 
 
 def depth_for(recall: float, threshold: float, trees: int, longest: int) -> int:
-    """The prefix length at which a pair of the threshold's similarity meets in a tree with at least this recall."""
+    """The longest prefix at which a pair of the threshold's similarity meets in a tree with at least this recall."""
     for depth in range(longest, 0, -1):
         if 1 - (1 - threshold**depth) ** trees >= recall:
             return depth
@@ -141,11 +144,37 @@ def roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = low
 
 
-def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, trees: int = 24, longest: int = 5, block: int = 2048, block_shingles: int = 3_000_000, small: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def unmet(pairs: DataFrame, depth: int, trees: int, threshold: float) -> float:
+    """The estimated share of links that meet in no tree at this prefix length. ``pairs``: met, the number of trees in
+    which a pair has met; those of at least half as many as links of the threshold's similarity meet in are taken for
+    links, and one met in the share q of the trees is missed with probability (1 - q)^trees."""
+    likely = pairs.where(F.col("met") >= 0.5 * trees * threshold**depth)
+    return likely.agg(F.avg(F.pow(1 - F.least(F.col("met") / trees, F.lit(1.0)), F.lit(trees)))).first()[0] or 0.0
+
+
+def forest(labels: DataFrame, trees: int, longest: int, threshold: float, recall: float) -> tuple[DataFrame, int]:
+    """``a, b`` for candidates, and the shortest prefix that was matched. ``labels``: hub (a class), tree, label."""
+    least = depth_for(recall, threshold, trees, longest)
+    nodes, stars, old = labels, None, None
+    for depth in range(longest, least - 1, -1):
+        keyed = nodes.select("hub", "tree", "label", F.xxhash64("tree", F.substring("label", 1, 4 * depth)).alias("node"))
+        tops = keyed.groupBy("node").agg(F.min("hub").alias("top"), F.count("*").alias("many"))
+        met = keyed.select("hub", "node").join(tops.where("many > 1").select("node", "top"), "node").where("hub != top")
+        pairs = cut(met.groupBy(F.col("hub").alias("a"), F.col("top").alias("b")).agg(F.count("*").alias("met")), "forest-stars")
+        stars = pairs if stars is None else stars.unionByName(pairs)
+        if depth == least or unmet(stars, depth, trees, threshold) <= 1 - recall:
+            break
+        nodes = cut(keyed.groupBy("node").agg(F.min_by(F.struct("tree", "label"), "hub").alias("x"), F.min("hub").alias("hub")).select("hub", "x.tree", "x.label"), "forest-nodes")
+        if old is not None:
+            discard(old)
+        old = nodes
+    return stars.select("a", "b"), depth
+
+
+def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, trees: int = 24, longest: int = 6, block: int = 2048, block_shingles: int = 3_000_000, small: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, class_id, n_links`` for each row: the least id among the documents that links join it with, and the
     number of documents it is linked with (copies count)."""
     ratio = Fraction(threshold).limit_denominator(1000)
-    depth = depth_for(recall, threshold, trees, longest)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
 
     def start():
@@ -158,14 +187,13 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
         return work
 
     signed = cut(map_texts(docs, {id_col: "i"}, text_col, "key binary, size long, sig binary", start, rows=500), "forest")
-    # one label for each class; a class is named by 64 bits of its key
-    named = signed.select("i", "key", "size", "sig", F.xxhash64("key").alias("cid"))
-    classes = cut(named.groupBy("key", "cid").agg(F.min("i").alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig")), "forest-classes")
+    # one label for each class and tree; a class is named by a number that no other has
+    classes = signed.groupBy("key").agg(F.min("i").alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig"))
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "forest-classes")
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    labels = classes.where("size > 0").select("cid", "sig", tree.alias("tree"))
-    labels = labels.select("cid", F.xxhash64("tree", F.substring(F.col("sig"), F.col("tree") * (4 * longest) + 1, F.lit(4 * depth))).alias("bucket"))
-    hubs = labels.groupBy("bucket").agg(F.min("cid").alias("hub"), F.count("*").alias("many")).where("many > 1").select("bucket", "hub")
-    stars = labels.join(hubs, "bucket").where("cid != hub").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
+    labels = classes.where("size > 0").select(F.col("cid").alias("hub"), "sig", tree.alias("tree"))
+    labels = labels.select("hub", "tree", F.substring(F.col("sig"), F.col("tree") * (4 * longest) + 1, F.lit(4 * longest)).alias("label"))
+    stars, _ = forest(labels, trees, longest, threshold, recall)
     group = cut(components(stars), "forest-groups")
 
     members = classes.join(group, F.col("cid") == F.col("node")).select("first", "key", "cid", "copies", "size", "root")
@@ -221,4 +249,4 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     told = cut(told.select("key", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("top", "cid").alias("top")), "forest-told")
     least = told.groupBy("top").agg(F.min("first").alias("class_id"))
     told = told.join(least, "top").select("key", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return named.select("i", "key").join(told, "key").select(F.col("i").alias(id_col), "class_id", "n_links")
+    return signed.select("i", "key").join(told, "key").select(F.col("i").alias(id_col), "class_id", "n_links")

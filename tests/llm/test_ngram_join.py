@@ -79,6 +79,34 @@ def test_pairs_are_exact_on_either_way():
             assert got == want and len(i) == len(got)
 
 
+def labels_of(spark, sets, trees, longest):
+    hashes = J.MinHash(trees * longest)
+    rows = []
+    for k, words in enumerate(sets):
+        sig = hashes.signature(J.shingle_sets([" ".join(words)], 1)[0])
+        rows += [(k, t, bytearray(sig[4 * longest * t : 4 * longest * (t + 1)])) for t in range(trees)]
+    return spark.createDataFrame(rows, "hub long, tree int, label binary")
+
+
+def test_forest_stops_where_links_are_met_and_goes_on_where_they_are_not(spark):
+    """Copies that differ in little meet at the longest prefix; pairs at the threshold need the shortest."""
+    words = [[f"g{k}w{j}" for j in range(200)] for k in range(40)]
+    close = words + [w[:-1] + [f"x{k}"] for k, w in enumerate(words)]
+    far = words + [w[:-21] + [f"x{k}y{j}" for j in range(21)] for k, w in enumerate(words)]
+    stars, depth = J.forest(labels_of(spark, close, 24, 6), 24, 6, 0.8, 0.99999)
+    assert depth == 6 and {(r["a"], r["b"]) for r in stars.distinct().collect()} == {(k + 40, k) for k in range(40)}
+    stars, depth = J.forest(labels_of(spark, far, 24, 6), 24, 6, 0.8, 0.99999)
+    assert depth == 4 and {(r["a"], r["b"]) for r in stars.distinct().collect()} >= {(k + 40, k) for k in range(40)}
+
+
+def test_only_the_least_class_of_a_node_goes_on(spark):
+    label = lambda *x: bytearray(b"".join(v.to_bytes(4, "big") for v in x))
+    rows = [(1, 0, label(1, 1, 1)), (2, 0, label(1, 1, 1)), (3, 0, label(1, 1, 2)), (4, 0, label(1, 1, 2)), (5, 0, label(9, 9, 9))]
+    rows += [(k, 1, label(k, k, k)) for k in range(1, 6)]  # nothing meets in the other tree, so half the chances are unmet
+    stars, depth = J.forest(spark.createDataFrame(rows, "hub long, tree int, label binary"), 2, 3, 0.8, 0.8)
+    assert depth == 2 and sorted(map(tuple, stars.collect())) == [(2, 1), (3, 1), (4, 3)]
+
+
 def test_prefix_is_shortened_until_recall():
     assert J.depth_for(0.99999, 0.8, 24, 5) == 4
     for recall in (0.5, 0.9, 0.999):
