@@ -8,12 +8,13 @@ remaining texts are encoded and decoded. All but the last stage return the colum
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import language_id, line_dedup, mixing, ngram_join, pieces, toxicity
-from tesserae.storage import cut
+from tesserae.storage import cut, settle
 
 def plain(docs: DataFrame) -> tuple[DataFrame, list]:
     """``docs`` with columns that nothing clashes with, the id as ``id``, and what gives them their names back."""
@@ -29,6 +30,20 @@ def counted(table: DataFrame, small: int = 1_000_000) -> DataFrame:
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def settled(stage: Stage) -> Stage:
+    """The stage, begun when the driver has given back what earlier ones held."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        settle(spark)
+        out = stage(spark, docs, sf_dir)
+        settle(spark)
+        return out
+
+    return run_stage
+
+
+@settled
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go. The model learns from the labels that op6 learns from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -39,14 +54,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 0").select(*back)
 
 
+@settled
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of Jaccard similarity 0.8 or more with an earlier line go; documents stay, be they empty then."""
     return line_dedup.dedup(docs, threshold=0.8)
 
 
+@settled
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by links (five words, similarity 0.8) the one of least id stays, once. Rows without an id
-    stay."""
+    stay; so do, if any of them does, rows of one id whose texts differ."""
     groups = ngram_join.join(docs, n=5, threshold=0.8)
     groups = cut(groups, "pipeline-groups")
     stay = counted(cut(groups.where("doc_id <=> class_id").select(F.col("doc_id").alias("stays")).distinct(), "pipeline-stay"))
@@ -59,8 +76,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept.select(*back)
 
 
+@settled
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources weigh 5, 2, 1, repeating, and share 1.5 times all words; a row for each copy."""
+    """Sources weigh 5, 2, 1, repeating, and share 1.5 times all words; a row for each copy. Rows of one id all stand as
+    often as the one taken most."""
     mixed = mixing.mix(docs, weights=(5, 2, 1), share=1.5, ceiling=2)
     copies = cut(mixed.groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0"), "pipeline-copies")
     rows, back = plain(docs)
@@ -68,6 +87,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*back)
 
 
+@settled
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the whole texts, and digests of ids and decoded texts."""
     return pieces.encode_decode(docs, "piece_bpe_32k.model", keep_ids=True).select("doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
