@@ -316,7 +316,7 @@ def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return values, offsets, table["i"].to_pylist(), said, stands_for[said]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, most_words: int = 5_000_000, k: int = 15) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, most_words: int = 2_000_000, k: int = 15) -> ToxicityModel:
     """Fit on the labelled rows that ``labels`` has; document frequencies come from every row of ``docs``."""
     values, offsets, ids, said, weights = examples(docs, labels, id_col, text_col, label_col, per_class, most_words)
     known = np.unique(values)
