@@ -5,7 +5,12 @@ Joins are equi-joins on names or paths; Catalyst chooses how. Rows of empty inpu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import pandas as pd
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import fixed, scalars
@@ -88,17 +93,32 @@ def dead_symbols(symbols: DataFrame, *edges: DataFrame) -> DataFrame:
     return symbols.where("kind = 'function'").join(called, "name", "left_anti").select(F.concat_ws(":", "path", "name").alias("symbol"))
 
 
+def pattern_found(spark: SparkSession, name: Column, pattern: str) -> Column:
+    """Whether a Python pattern is found in a name, whatever its case. Patterns that Java's engine takes, with named
+    groups written its way, stay in the JVM; others are tried by Python's own, in Arrow batches."""
+    java = "(?iu)" + re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(java)
+    except (Py4JError, PySparkException):
+
+        @F.pandas_udf("boolean")
+        def found(names: pd.Series) -> pd.Series:
+            own = re.compile(pattern, re.IGNORECASE)
+            return names.map(lambda x: x is not None and own.search(x) is not None)
+
+        return found(name)
+    return name.rlike(java)
+
+
 def search(symbols: DataFrame, pattern: str, limit: int = 50) -> DataFrame:
     """``file, name, type, line``: the first matches by file, functions before classes; none for a wrong pattern."""
-    import re
-
     kinds = symbols.where(F.col("kind").isin("function", "class"))
     try:
         re.compile(pattern)
     except re.error:
         kinds, pattern = kinds.limit(0), ""
     order = [F.col("file_ord"), F.when(F.col("kind") == "function", 0).otherwise(1), F.col("ord"), F.col("name")]
-    hit = kinds.where(F.col("name").rlike(f"(?iu){pattern}")).orderBy(*order).limit(limit)
+    hit = kinds.where(pattern_found(symbols.sparkSession, F.col("name"), pattern)).orderBy(*order).limit(limit)
     return hit.select(F.col("path").alias("file"), "name", F.col("kind").alias("type"), F.coalesce(F.col("line"), F.lit(0)).cast("string").alias("line"))
 
 

@@ -79,8 +79,8 @@ def file_table(tree: DataFrame) -> DataFrame:
 def build(spark: SparkSession, root: str, previous: DataFrame | None = None, max_files: int = fixed.MAX_FILES, damping: float = 0.85) -> CodeIndex:
     """Index the tree below ``root``. With ``previous`` (rows of an earlier ``parsed_rows`` with the files' hashes) only
     files of other content are parsed."""
-    tree = file_table(listing.first_files(listing.read_tree(spark, root).withColumn("markdown", scalars.extension(F.col("path")).isin(*fixed.MARKDOWN_EXTENSIONS)), max_files).drop("markdown"))
-    tree = tree.withColumn("content_hash", scalars.content_hash(F.col("content")))
+    tree = file_table(listing.read_tree(spark, root, max_files))
+    tree = cut(tree.withColumn("content_hash", scalars.content_hash(F.col("content"))), "tree")  # read and hashed once
     return assemble(tree, parsed_rows(tree, previous))
 
 

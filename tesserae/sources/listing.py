@@ -6,7 +6,7 @@ import re
 import subprocess
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import fixed, scalars
@@ -101,10 +101,8 @@ def project_root(start: str = ".") -> Path:
     return next((p for p in here.parents if (p / ".git").exists()), here)
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``path, mtime, size, content, ord`` of the indexable files below a local or remote root.
-
-    Paths are listed and filtered first; contents are read by the executors, and only if a later step needs them."""
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """``path, mtime, size, ord, uri`` of the indexable files below a local or remote root, without their contents."""
     where = Path(root)
     ignore = where / ".gitignore"
     patterns = [*fixed.IGNORE_DIRS, *(ignore_patterns(ignore.read_text(errors="ignore")) if ignore.is_file() else [])]
@@ -113,14 +111,33 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     base = str(where.resolve()) if local else root.rstrip("/")
     plain = F.call_function("try_url_decode", F.regexp_replace("path", "^file:/+", "/")) if local else F.col("path")
     relative = F.substring(plain, len(base.rstrip("/")) + 2, 100_000)
-    rows = found.select(relative.alias("path"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"), "content")
+    rows = found.select(relative.alias("path"), F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"), plain.alias("uri"))
     listed = git_files(root) if local else None
     if listed is not None:
         rows = rows.join(F.broadcast(spark.createDataFrame([(p,) for p in listed], "path string")), "path", "left_semi")
-    return indexable(rows, patterns).withColumn("ord", F.row_number().over(_by_path()))
-
-
-def _by_path():
-    from pyspark.sql import Window
-
-    return Window.orderBy("path")
+    # one window over names, as many as the file index on the driver holds anyway
+    return indexable(rows, patterns).withColumn("ord", F.row_number().over(Window.orderBy("path")))
+
+
+def with_contents(files: DataFrame) -> DataFrame:
+    """``files`` with ``content`` instead of ``uri``. Only these files are opened, by the executors; their names, which
+    the driver lists for any scan, are collected for that."""
+    spark = files.sparkSession
+    named = [r["uri"] for r in files.select("uri").collect()]
+    if not named:
+        return files.drop("uri").withColumn("content", F.lit(None).cast("binary"))
+    escaped = [re.sub(r"([\\\[\]{}*?])", r"\\\1", u) for u in named]
+    found = spark.read.format("binaryFile").load(escaped)
+    local = named[0].startswith("/")
+    uri = F.call_function("try_url_decode", F.regexp_replace("path", "^file:/+", "/")) if local else F.col("path")
+    return files.join(found.select(uri.alias("uri"), "content"), "uri").drop("uri")
+
+
+def read_tree(spark: SparkSession, root: str, most: int | None = None) -> DataFrame:
+    """``path, mtime, size, content, ord`` of the indexable files, of code files the first ``most`` only.
+
+    Paths are listed, filtered, numbered and cut off before any content is read."""
+    files = list_tree(spark, root)
+    if most is not None:
+        files = first_files(files.withColumn("markdown", scalars.extension(F.col("path")).isin(*fixed.MARKDOWN_EXTENSIONS)), most).drop("markdown")
+    return with_contents(files)

@@ -90,6 +90,8 @@ def test_dead_symbols_and_search(spark):
     assert [(r["name"], r["line"]) for r in graphs.search(s, "help").collect()] == [("helper", "1"), ("deep_helper", "10")]
     assert [r["name"] for r in graphs.search(s, "^MAIN$").collect()] == ["main"]
     assert graphs.search(s, "(").collect() == []
+    for pattern in (r"(?P<n>h)elp", r"(?P<n_1>h)elp", r"(h)?(?(1)elp|zzz)", r"(?P<x>e)l(?:p)(?P=x)"):  # Java's engine takes the first and the last, rewritten
+        assert [r["name"] for r in graphs.search(s, pattern).collect()] == ["helper", "deep_helper"], pattern
 
 
 def test_file_summary(spark):

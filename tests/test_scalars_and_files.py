@@ -71,6 +71,10 @@ def test_read_tree(spark, tmp_path):
         (tmp_path / p).write_text(t)
     (tmp_path / ".gitignore").write_text("skip/\n")
     assert [r["path"] for r in listing.read_tree(spark, str(tmp_path)).orderBy("ord").collect()] == ["a b.md", "main.py", "src/utils.py"]
+    (tmp_path / "b[1]{x}.py").write_text("y = 2\n")
+    first = listing.read_tree(spark, str(tmp_path), 1).orderBy("ord").collect()
+    assert [(r["path"], bytes(r["content"])) for r in first] == [("a b.md", b"# T\n"), ("b[1]{x}.py", b"y = 2\n")]
+    (tmp_path / "b[1]{x}.py").unlink()
     subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
     assert sorted(listing.git_files(str(tmp_path))) == [".gitignore", "a b.md", "main.py", "node_modules/i.js", "notes.txt", "src/utils.py"]
     assert listing.project_root(str(tmp_path / "src")) == tmp_path.resolve()
