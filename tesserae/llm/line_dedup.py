@@ -148,19 +148,17 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, bits: int = 22, few:
     # Of prefix words with at most `few` classes all pairs are tested; the rows of more common words are kept apart for
     # the two steps below, which pair no group in full, and aren't sent anywhere before they are told apart. The
     # sketch tells most words that are surely not common, so only the others are counted.
-    def prefixes(a: Column, before: Column) -> DataFrame:
-        return first.select("o", "n", "b", before.alias("before"), F.posexplode(a).alias("k", "w")).select("w", "o", "n", (F.col("before") + F.col("k")).alias("p"), "b")
-
-    rest = prefixes(F.slice("a", F.col("sure") + 1, F.size("a")), F.col("skip") + F.col("sure"))
-    common = cut(rest.groupBy("w").agg(F.count("*").alias("many")).where(F.col("many") > few).select("w"), "lines-common")
+    prefix = first.where(F.size("a") > 0).select("o", "n", "b", "skip", "sure", F.posexplode("a").alias("k", "w"))
+    prefix = prefix.select("w", "o", "n", (F.col("skip") + F.col("k")).alias("p"), "b", (F.col("k") < F.col("sure")).alias("sure"))
+    common = cut(prefix.where("not sure").groupBy("w").agg(F.count("*").alias("many")).where(F.col("many") > few).select("w"), "lines-common")
     common = F.broadcast(common) if common.count() <= small else common
     row = lambda end: {"n": F.col(f"n{end}"), "p": F.col(f"p{end}"), "b": F.col(f"b{end}")}
     named = lambda df, end: df.select("w", *[F.col(c).alias(c + end) for c in ("o", "n", "p", "b")])
-    rare = prefixes(F.slice("a", F.lit(1), F.col("sure")), F.col("skip")).unionByName(rest.join(common, "w", "left_anti"))
+    rare = prefix.join(common, "w", "left_anti").drop("sure")
     # both sides are the same plan, names included, so that its rows are sent once
     of = lambda side: {c: F.col(f"{side}.{c}") for c in ("n", "p", "b")}
     met = rare.alias("x").join(rare.alias("y"), F.col("x.w") == F.col("y.w")).where((F.col("y.o") < F.col("x.o")) & near(of("x"), of("y"), threshold)).select(F.col("x.o").alias("x"), F.col("y.o").alias("y"))
-    shared = cut(rest.join(common, "w", "left_semi"), "lines-shared")
+    shared = cut(prefix.where("not sure").drop("sure").join(common, "w", "left_semi"), "lines-shared")
     hubs = shared.groupBy("w").agg(F.min("o").alias("oy"), F.min_by("n", "o").alias("ny"), F.min_by("p", "o").alias("py"), F.min_by("b", "o").alias("by"))
     early = named(shared, "x").join(hubs, "w").where((F.col("ox") > F.col("oy")) & near(row("x"), row("y"), threshold)).select(F.col("ox").alias("x"), F.col("oy").alias("y"))
     pairs = met.unionByName(early).distinct()
