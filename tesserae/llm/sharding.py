@@ -83,7 +83,7 @@ def shard(docs: DataFrame, shards: int = 8, virtual: int = 128, slack: float = 0
     large = cut(rows.groupBy("key").agg(F.sum("size").alias("w")).where(F.col("w") > most / 2).select("key", F.ceil(F.col("w") / (most / 2)).cast("int").alias("parts")), "sharding-large")
     first = math.ceil(math.log2(8 * shards / slack))
     # rows of a unit are numbered in parts of some tens of thousands
-    subs = max(4, math.ceil(known["n"] / (50_000 << first)))
+    subs = max(1, math.ceil(known["n"] / (50_000 << first)))
     for finer in range(16):  # each turn doubles the units, until no unit that can be parted is too large
         bits = 64 - first - finer
         # a small key's place on the ring: its hash's upper bits, so units stand on the ring in order
