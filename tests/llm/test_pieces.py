@@ -58,3 +58,21 @@ def test_table(spark, small, odd, empty):
         assert got == sorted(want, key=repr)
     assert pieces.encode_decode(empty, MODEL).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
     assert pieces.encode_decode(empty, MODEL).count() == 0
+
+
+def test_memo_entries_are_small(enc):
+    """A kept chunk is its ids as one string; kept pairs share their pieces' strings."""
+    import tracemalloc
+
+    random.seed(8)
+    letters = "etaoinshrdlu"
+    texts = [" ".join("".join(random.choice(letters) for _ in range(random.randint(4, 9))) for _ in range(100)) for _ in range(300)]
+    enc.chunks, enc.pairs = pieces.Memo(), pieces.Memo()
+    tracemalloc.start()
+    for t in texts:
+        enc.encode(t)
+    taken = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    kept = len(enc.chunks.young) + len(enc.pairs.young)
+    assert kept > 20_000 and taken / kept < 150
+    assert all(enc.encode(t) == enc.library.encode(t) for t in texts)
