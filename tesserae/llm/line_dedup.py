@@ -40,28 +40,34 @@ LEAST = 8
 FREQUENT = 4096
 
 
-def spaced(text: Column) -> Column:
-    """The text with spaces and line ends as its only white space."""
+def blank(text: Column) -> Column:
+    """Whether the text has white space that isn't a space or a line end."""
     odd = F.contains(text, F.lit(OTHER_BLANKS[0]))
     for c in OTHER_BLANKS[1:]:
         odd = odd | F.contains(text, F.lit(c))
-    return F.when(odd, F.translate(text, OTHER_BLANKS, " " * len(OTHER_BLANKS))).otherwise(text)
+    return odd
+
+
+def spaced(text: Column) -> Column:
+    """The text with spaces and line ends as its only white space."""
+    return F.when(blank(text), F.translate(text, OTHER_BLANKS, " " * len(OTHER_BLANKS))).otherwise(text)
 
 
 def hashes(line: Column) -> Column:
-    """The distinct words' hashes, of a line that ``spaced`` has given; splitting at one character needs no pattern."""
+    """The words' hashes, of a line that ``spaced`` has given; splitting at one character needs no pattern. A line
+    without words gives one hash. No element can be null, or functions of the array would box each element."""
     blanks = line.startswith(" ") | line.endswith(" ") | F.contains(line, F.lit("  "))
     words = F.split(F.when(blanks, F.regexp_replace(F.trim(line), " +", " ")).otherwise(line), " ")
-    return F.when(F.trim(line) != "", F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).otherwise(F.array().cast("array<long>"))
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def sketch(texts: DataFrame, bits: int) -> DataFrame:
     """One row: an array of 2**bits bytes, the logarithm of the number of words with such a hash."""
     spark = texts.sparkSession
-    words = texts.select(F.explode(F.split(F.replace(F.col("t"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w != ''").select(F.xxhash64("w").bitwiseAND((1 << bits) - 1).alias("k"))
+    words = texts.select(F.explode(F.split(F.replace(F.col("t"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w != ''").select(F.xxhash64("w").bitwiseAND((1 << bits) - 1).cast("int").alias("k"))
     counts = words.groupBy("k").agg(F.count("*").alias("n"))
     code = F.when(F.col("n") <= 1, 0).otherwise(1 + F.floor(2 * F.log2("n")))
-    every = spark.range(1 << bits).withColumnRenamed("id", "k").join(counts, "k", "left").select("k", F.coalesce(F.least(code, F.lit(120)), F.lit(0)).cast("byte").alias("c"))
+    every = spark.range(1 << bits).select(F.col("id").cast("int").alias("k")).join(counts, "k", "left").select("k", F.coalesce(F.least(code, F.lit(120)), F.lit(0)).cast("byte").alias("c"))
     pages = every.groupBy(F.shiftright("k", 12).alias("p")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("c"))
     return cut(pages.groupBy().agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("p", "c"))), lambda x: x["c"])).alias("c")), "lines-sketch")
 
@@ -81,57 +87,71 @@ def near(x: dict[str, Column], y: dict[str, Column], threshold: float) -> Column
 
 
 def matches(pairs: DataFrame, spots: DataFrame, texts: DataFrame, threshold: float, small: int) -> DataFrame:
-    """Those of ``pairs`` (x, y: first lines of classes) whose words' Jaccard similarity reaches the threshold.
-    ``spots``: o, i, h, p; ``texts``: i, h, t. Only lines that ``pairs`` names become sets."""
+    """Those x of ``pairs`` (x, y: first lines of classes) for which the words' Jaccard similarity with a y reaches the
+    threshold. ``spots``: o, i, h, p; ``texts``: i, h, t. Only lines that ``pairs`` names become sets."""
     ends = cut(pairs.select(F.explode(F.array("x", "y")).alias("o")).distinct(), "lines-ends")
-    few = ends.count() <= small
+    held = ends.count()
+    few = held <= small
     wanted = spots.join(F.broadcast(ends) if few else ends, "o").groupBy(F.col("i").alias("j"), F.col("h").alias("g")).agg(F.collect_set(F.struct("o", "p")).alias("at"))
     found = texts.join(F.broadcast(wanted) if few else wanted, F.col("i").eqNullSafe(F.col("j")) & (F.col("h") == F.col("g"))).select("at", F.split("t", "\n").alias("lines"))
     found = found.select(F.explode(F.transform("at", lambda a: F.struct(a["o"].alias("o"), F.get("lines", a["p"]).alias("line")))).alias("x"))
-    sets = cut(found.select("x.o", hashes(F.col("x.line")).alias("s")).dropDuplicates(["o"]), "lines-sets")
+    sets = cut(found.select("x.o", F.array_distinct(hashes(F.col("x.line"))).alias("s")), "lines-sets")
+    if sets.count() > held:  # of repeated rows, each has given its sets
+        sets = cut(sets.dropDuplicates(["o"]), "lines-sets")
     side = lambda end: sets.select(F.col("o").alias(end), F.col("s").alias(f"s{end}"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
     shared = F.size(F.array_intersect("sx", "sy"))
-    return both.where(shared >= at_least(F.size("sx"), F.size("sy"), threshold)).select("x", "y")
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    return both.where(shared >= at_least(F.size("sx"), F.size("sy"), threshold)).select("x").distinct()
 
 
-def removed_lines(docs: DataFrame, threshold: float = 0.8, bits: int = 22, few: int = 512, small: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, **how) -> DataFrame:
     """``i, h, lines``: for each document (id and hash of text) its removed lines' numbers from 0, and how they match."""
+    return rows_and_removed(docs, **how)[1]
+
+
+def rows_and_removed(docs: DataFrame, threshold: float = 0.8, bits: int = 22, few: int = 512, small: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``i, h, n_lines`` of each row of ``docs``, so that its texts needn't be read again, and ``removed_lines``."""
     if not 0.8 <= threshold <= 1:
         raise ValueError("thresholds from 0.8 on are supported")
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
         raise TypeError(f"{id_col} must hold whole numbers")
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    seen = texts.agg(F.max("i").alias("high"), F.min("i").alias("low"), F.max(F.octet_length("t")).alias("long")).first()
+    seen = texts.agg(F.max("i").alias("high"), F.min("i").alias("low"), F.max(F.octet_length("t")).alias("long"), F.max(blank(F.col("t"))).alias("blank")).first()
     low, high, long = seen["low"] or 0, seen["high"] or 0, seen["long"] or 0
     step = max(1, long + 1)  # no text has as many lines
     # a line's place in the order of all lines, as one number
     kind = "long" if (high - low + 2) * step < 1 << 62 else "decimal(38,0)"
     place = F.coalesce(F.col("i").cast(kind) - F.lit(low).cast(kind) + 1, F.lit(0).cast(kind)) * F.lit(step).cast(kind) + F.col("p").cast(kind)
-    texts = texts.select("i", F.xxhash64("t").alias("h"), spaced(F.col("t")).alias("t"))
-    cells = texts.select("i", "h", F.posexplode(F.split("t", "\n")).alias("p", "line")).select("i", "h", "p", place.alias("o"), "line")
+    texts = texts.select("i", F.xxhash64("t").alias("h"), (spaced(F.col("t")) if seen["blank"] else F.col("t")).alias("t"))
+    cells = texts.select("i", "h", F.split("t", "\n").alias("all")).select("i", "h", F.size("all").alias("n_lines"), F.posexplode("all").alias("p", "line")).select("i", "h", "n_lines", "p", place.alias("o"), "line")
 
     counters = sketch(texts, bits)
     once = F.lit(1 << 56)
-    rank = lambda c, h: F.shiftleft(F.get(c, h.bitwiseAND((1 << bits) - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    # the sketch is a subquery's value, named once, so no row holds a copy of it
-    ranked = cells.withColumn("sketch", counters.scalar()).select("i", "h", "p", "o", F.sort_array(F.transform(hashes(F.col("line")), lambda w: rank(F.col("sketch"), w))).alias("s"))
-    n = F.size("s")
+    code = lambda c, h: F.coalesce(c[h.bitwiseAND((1 << bits) - 1)], F.lit(0).cast("byte")).cast("long")
+    rank = lambda c, h: F.shiftleft(code(c, h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    # the sketch is a subquery's value, named once, so no row holds a copy of it; ranks can't be null, see ``hashes``
+    ranks = F.transform(hashes(F.col("line")), lambda w: rank(F.col("sketch"), w))
+    ranked = cells.withColumn("sketch", counters.scalar()).select("i", "h", "n_lines", "p", "o", (F.trim("line") != "").alias("some"), F.sort_array(F.array_distinct(ranks)).alias("s"))
+    n = F.when(F.col("some"), F.size("s")).otherwise(0)
     size = (n - F.ceil(threshold * n - 1e-9) + 1).cast("int")
     rare = F.slice("s", 1, F.greatest(size, F.lit(0)))
+    # ranks ascend, so the first or last one often tells of all of them
+    first, last = F.get("s", F.lit(0)), F.get("s", size - 1)
     # a parity bit for each of the 64 values of the hash's six upper bits; shifts take their length modulo 64
     bitmap = F.aggregate("s", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(k, 50).cast("int"))))
-    prefix = F.filter(rare, lambda k: k >= once)
+    prefix = F.when(first >= once, rare).otherwise(F.filter(rare, lambda k: k >= once))
     # words with fewer occurrences than this code are surely in at most `few` classes; they come first
     surely = F.lit((1 + math.floor(2 * math.log2(few + 1))) << 56)
-    slim = lambda a: F.transform(a, lambda k: k.bitwiseAND(0x7FFFFFFF).cast("int"))
-    none = F.array().cast("array<int>")
+    sure = F.when((first >= once) & (last < surely), size).when(first >= surely, 0).otherwise(F.size(F.filter(rare, lambda k: (k >= once) & (k < surely))))
+    none = F.array().cast("array<long>")
     lines = ranked.select(
-        "i", "h", "p", "o", n.alias("n"), F.when(n >= LEAST, bitmap).otherwise(F.lit(0).cast("long")).alias("b"), F.xxhash64("s").alias("c1"), F.xxhash64(F.lit(1), "s").alias("c2"),
-        F.when(n >= LEAST, slim(prefix)).otherwise(none).alias("a"), F.when(n >= LEAST, F.size(F.filter(rare, lambda k: (k >= once) & (k < surely)))).otherwise(F.lit(0)).alias("sure"),
+        "i", "h", "n_lines", "p", "o", n.alias("n"), F.when(n >= LEAST, bitmap).otherwise(F.lit(0).cast("long")).alias("b"), F.xxhash64("s").alias("c1"), F.xxhash64(F.lit(1), "s").alias("c2"),
+        F.when(n >= LEAST, prefix).otherwise(none).alias("a"), F.when(n >= LEAST, sure).otherwise(F.lit(0)).alias("sure"),
         size.alias("size"), F.when(n <= LEAST, F.col("s")).alias("few"),
     )
-    lines = cut(lines, "lines").where("n > 0").withColumn("skip", F.col("size") - F.size("a"))
+    lines = cut(lines, "lines")
+    rows = lines.where("p = 0").select("i", "h", F.col("n_lines").cast("long"))
+    lines = lines.where("n > 0").withColumn("skip", F.col("size") - F.size("a"))
 
     classes = cut(lines.groupBy("c1", "c2").agg(F.min("o").alias("first"), F.count("*").alias("many")).where("many > 1"), "lines-classes")
     members = lines.select("i", "h", "p", "o", "c1", "c2")
@@ -149,22 +169,24 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, bits: int = 22, few:
     # the two steps below, which pair no group in full, and aren't sent anywhere before they are told apart. The
     # sketch tells most words that are surely not common, so only the others are counted.
     prefix = first.where(F.size("a") > 0).select("o", "n", "b", "skip", "sure", F.posexplode("a").alias("k", "w"))
-    prefix = prefix.select("w", "o", "n", (F.col("skip") + F.col("k")).alias("p"), "b", (F.col("k") < F.col("sure")).alias("sure"))
+    # a row has the set's size and the word's position as one number, m, as rows are many
+    prefix = prefix.select(F.col("w").bitwiseAND(0x7FFFFFFF).cast("int").alias("w"), "o", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("skip") + F.col("k")).cast("long")).alias("m"), "b", (F.col("k") < F.col("sure")).alias("sure"))
     common = cut(prefix.where("not sure").groupBy("w").agg(F.count("*").alias("many")).where(F.col("many") > few).select("w"), "lines-common")
     common = F.broadcast(common) if common.count() <= small else common
-    row = lambda end: {"n": F.col(f"n{end}"), "p": F.col(f"p{end}"), "b": F.col(f"b{end}")}
-    named = lambda df, end: df.select("w", *[F.col(c).alias(c + end) for c in ("o", "n", "p", "b")])
+    parts = lambda m, b: {"n": F.shiftright(m, 32).cast("int"), "p": m.bitwiseAND(0x7FFFFFFF).cast("int"), "b": b}
+    row = lambda end: parts(F.col(f"m{end}"), F.col(f"b{end}"))
+    named = lambda df, end: df.select("w", *[F.col(c).alias(c + end) for c in ("o", "m", "b")])
     rare = prefix.join(common, "w", "left_anti").drop("sure")
     # both sides are the same plan, names included, so that its rows are sent once
-    of = lambda side: {c: F.col(f"{side}.{c}") for c in ("n", "p", "b")}
+    of = lambda side: parts(F.col(f"{side}.m"), F.col(f"{side}.b"))
     met = rare.alias("x").join(rare.alias("y"), F.col("x.w") == F.col("y.w")).where((F.col("y.o") < F.col("x.o")) & near(of("x"), of("y"), threshold)).select(F.col("x.o").alias("x"), F.col("y.o").alias("y"))
     shared = cut(prefix.where("not sure").drop("sure").join(common, "w", "left_semi"), "lines-shared")
-    hubs = shared.groupBy("w").agg(F.min("o").alias("oy"), F.min_by("n", "o").alias("ny"), F.min_by("p", "o").alias("py"), F.min_by("b", "o").alias("by"))
+    hubs = shared.groupBy("w").agg(F.min("o").alias("oy"), F.min_by("m", "o").alias("my"), F.min_by("b", "o").alias("by"))
     early = named(shared, "x").join(hubs, "w").where((F.col("ox") > F.col("oy")) & near(row("x"), row("y"), threshold)).select(F.col("ox").alias("x"), F.col("oy").alias("y"))
     pairs = met.unionByName(early).distinct()
     matched = cut(matches(cut(pairs, "lines-pairs"), spots, texts, threshold, small), "lines-matched")
 
-    later = named(shared, "x").join(matched.select(F.col("x").alias("ox")).distinct(), "ox", "left_anti")
+    later = named(shared, "x").join(matched.withColumnRenamed("x", "ox"), "ox", "left_anti")
     late = later.join(named(shared, "y"), "w").where((F.col("oy") < F.col("ox")) & near(row("x"), row("y"), threshold)).select(F.col("ox").alias("x"), F.col("oy").alias("y")).distinct()
     more = matches(cut(late, "lines-rest"), spots, texts, threshold, small)
 
@@ -174,10 +196,10 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, bits: int = 22, few:
     less = longer.select("o", "few", F.explode("few").alias("w")).select("o", F.array_remove("few", F.col("w")).alias("few")).select(F.xxhash64("few").alias("c1"), F.xxhash64(F.lit(1), "few").alias("c2"), F.col("o").alias("long"))
     within = less.join(short, ["c1", "c2"]).select(F.greatest("o", "long").alias("x"))
 
-    gone = matched.select("x").unionByName(more.select("x")).unionByName(within).distinct()
-    close = lines.join(gone.withColumnRenamed("x", "o"), "o", "left_semi").select("i", "h", "p", F.lit("near").alias("how"))
+    gone = cut(matched.unionByName(more).unionByName(within).distinct().withColumnRenamed("x", "o"), "lines-near")
+    close = lines.join(F.broadcast(gone) if gone.count() <= small else gone, "o", "left_semi").select("i", "h", "p", F.lit("near").alias("how"))
     every = again.select("i", "h", "p", F.lit("exact").alias("how")).unionByName(close).distinct()
-    return every.groupBy("i", "h").agg(F.sort_array(F.collect_set("p")).alias("lines"), F.count_if(F.col("how") == "near").alias("n_near"))
+    return rows, every.groupBy("i", "h").agg(F.sort_array(F.collect_set("p")).alias("lines"), F.count_if(F.col("how") == "near").alias("n_near"))
 
 
 def dedup(docs: DataFrame, small: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -197,8 +219,6 @@ def dedup(docs: DataFrame, small: int = 1_000_000, id_col: str = "doc_id", text_
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``id_col, n_lines, n_removed, removed_lines`` (their numbers from 0, joined by commas) for each row."""
-    gone = removed_lines(docs, id_col=id_col, text_col=text_col, **how)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("j"), F.xxhash64(text).alias("g"), F.size(F.split(text, "\n")).cast("long").alias("n_lines"))
-    both = rows.join(gone, rows["j"].cast("long").eqNullSafe(gone["i"]) & (rows["g"] == gone["h"]), "left")
-    return both.select(F.col("j").alias(id_col), "n_lines", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), F.concat_ws(",", F.col("lines").cast("array<string>")).alias("removed_lines"))
+    rows, gone = rows_and_removed(docs, id_col=id_col, text_col=text_col, **how)
+    both = rows.withColumnsRenamed({"i": "j", "h": "g"}).join(gone, F.col("j").eqNullSafe(F.col("i")) & (F.col("g") == F.col("h")), "left")
+    return both.select(F.col("j").cast(docs.schema[id_col].dataType).alias(id_col), "n_lines", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), F.concat_ws(",", F.col("lines").cast("array<string>")).alias("removed_lines"))

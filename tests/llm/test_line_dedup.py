@@ -97,3 +97,29 @@ def test_ids_are_whole_numbers(small):
 def test_low_thresholds_are_refused(small):
     with pytest.raises(ValueError):
         D.report(small, threshold=0.5)
+
+
+def test_words_hashes_cannot_be_null(spark):
+    """Else sorting and telling them apart boxes every word, which costs op4 much of its time."""
+    kind = spark.range(1).select(D.hashes(F.lit(" a  b ")).alias("x"), D.hashes(F.lit("")).alias("y")).schema
+    assert not kind["x"].dataType.containsNull and not kind["y"].dataType.containsNull
+
+
+def test_the_report_reads_texts_no_more_than_the_join(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    make(spark, ["one two three", "one two three\nfour five six", None]).write.parquet(path)
+    out = D.report(spark.read.parquet(path), bits=10)
+    assert not [f for f in out.inputFiles() if "documents.parquet" in f]
+    assert {tuple(r) for r in out.collect()} == {(0, 1, 0, ""), (1, 2, 1, "0"), (2, 1, 0, "")}
+
+
+def test_repeated_rows_and_narrow_ids(spark):
+    """Repeated rows count once, and each is reported; ids keep their type."""
+    line = [f"w{k}" for k in range(12)]
+    texts = [" ".join(line), "\n".join([" ".join([*line[:11], "other"]), "", "short one"]), "short one\n" + " ".join([*line, "more"])]
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, *rows, (None, None, None, None, 0)], "doc_id int, text string, lang string, source string, n_chars long")
+    out = D.report(df, bits=12)
+    assert out.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+    assert sorted(map(tuple, out.where("doc_id is not null").collect())) == sorted([(0, 1, 0, ""), (1, 3, 1, "0"), (2, 2, 2, "0,1")] * 2)
+    assert [tuple(r) for r in out.where("doc_id is null").collect()] == [(None, 1, 0, "")]
