@@ -3,9 +3,9 @@
 A line is the set of its words. A line is removed if an earlier line (by document id, then line number) has Jaccard
 similarity of at least ``threshold`` with it. Lines without a word stay. Steps:
 
-1. How often each word occurs is counted over all texts, in a sketch of a bounded number of counters. A word's rank is
-   its counter followed by its hash, so ranks order words by rarity, and alike everywhere, which is all that the prefix
-   filter needs; a word whose counter is 1 occurs once and in no match. A set is the sorted array of its ranks.
+1. In how many lines each word occurs is counted over all texts, in a sketch of a bounded number of counters. A word's
+   rank is its counter followed by its hash, so ranks order words by rarity, and alike everywhere, which is all that the
+   prefix filter needs; a word whose counter is 1 is in one line and in no match. A set is the sorted array of its ranks.
 2. Lines of equal sets are one class, of which the first line stays. The sets of the most frequent lines are bounded in
    number and sent to the lines, so that no task gets all copies of one line.
 3. Two sets above the threshold share a word among the rarest ``n - ceil(threshold * n) + 1`` of each (prefix filter).
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from tesserae.llm.quality import let
-from tesserae.storage import cut
+from tesserae.storage import cut, discard
 
 #: White space that isn't a space or a line end.
 OTHER_BLANKS = "\t\x0b\f\r"
@@ -39,6 +39,9 @@ LEAST = 8
 #: At most so many line sets are sent to every task because of how often they occur.
 FREQUENT = 4096
 
+#: How hashes are written: neither a dictionary nor compression is worth its time.
+PLAIN = {"parquet.enable.dictionary": "false", "compression": "none"}
+
 
 def blank(text: Column) -> Column:
     """Whether the text has white space that isn't a space or a line end."""
@@ -48,9 +51,9 @@ def blank(text: Column) -> Column:
     return odd
 
 
-def spaced(text: Column) -> Column:
-    """The text with spaces and line ends as its only white space."""
-    return F.when(blank(text), F.translate(text, OTHER_BLANKS, " " * len(OTHER_BLANKS))).otherwise(text)
+def spaced(text: Column, odd: Column) -> Column:
+    """The text with spaces and line ends as its only white space; ``odd``: whether it is ``blank``."""
+    return F.when(odd, F.translate(text, OTHER_BLANKS, " " * len(OTHER_BLANKS))).otherwise(text)
 
 
 def hashes(line: Column) -> Column:
@@ -61,10 +64,10 @@ def hashes(line: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def sketch(texts: DataFrame, bits: int) -> DataFrame:
-    """One row: an array of 2**bits bytes, the logarithm of the number of words with such a hash."""
-    spark = texts.sparkSession
-    words = texts.select(F.explode(F.split(F.replace(F.col("t"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w != ''").select(F.xxhash64("w").bitwiseAND((1 << bits) - 1).cast("int").alias("k"))
+def sketch(sets: DataFrame, bits: int) -> DataFrame:
+    """One row: an array of 2**bits bytes, the logarithm of the number of lines' words (hashes s) with such a hash."""
+    spark = sets.sparkSession
+    words = sets.select(F.explode("s").alias("w")).select(F.col("w").bitwiseAND((1 << bits) - 1).cast("int").alias("k"))
     counts = words.groupBy("k").agg(F.count("*").alias("n"))
     code = F.when(F.col("n") <= 1, 0).otherwise(1 + F.floor(2 * F.log2("n")))
     every = spark.range(1 << bits).select(F.col("id").cast("int").alias("k")).join(counts, "k", "left").select("k", F.coalesce(F.least(code, F.lit(120)), F.lit(0)).cast("byte").alias("c"))
@@ -116,42 +119,41 @@ def rows_and_removed(docs: DataFrame, threshold: float = 0.8, bits: int = 22, fe
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
         raise TypeError(f"{id_col} must hold whole numbers")
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    seen = texts.agg(F.max("i").alias("high"), F.min("i").alias("low"), F.max(F.octet_length("t")).alias("long"), F.max(blank(F.col("t"))).alias("blank")).first()
-    low, high, long = seen["low"] or 0, seen["high"] or 0, seen["long"] or 0
-    step = max(1, long + 1)  # no text has as many lines
+    texts = texts.select("i", F.xxhash64("t").alias("h"), "t")
+    # each text is split once, into its lines' words, which the sketch and the ranks are both made of
+    marked = texts.withColumn("odd", blank(F.col("t"))).select("i", "h", "odd", F.split(spaced(F.col("t"), F.col("odd")), "\n").alias("all"))
+    cells = marked.select("i", "h", "odd", F.size("all").alias("n_lines"), F.posexplode("all").alias("p", "line"))
+    words = cut(cells.select("i", "h", "odd", "n_lines", "p", (F.trim("line") != "").alias("some"), F.array_distinct(hashes(F.col("line"))).alias("s")), "lines-words", **PLAIN)
+    seen = words.agg(F.max("i").alias("high"), F.min("i").alias("low"), F.max("p").alias("p"), F.max("odd").alias("odd")).first()
+    low, high = seen["low"] or 0, seen["high"] or 0
+    step = (seen["p"] or 0) + 1
     # a line's place in the order of all lines, as one number
     kind = "long" if (high - low + 2) * step < 1 << 62 else "decimal(38,0)"
     place = F.coalesce(F.col("i").cast(kind) - F.lit(low).cast(kind) + 1, F.lit(0).cast(kind)) * F.lit(step).cast(kind) + F.col("p").cast(kind)
-    texts = texts.select("i", F.xxhash64("t").alias("h"), (spaced(F.col("t")) if seen["blank"] else F.col("t")).alias("t"))
-    cells = texts.select("i", "h", F.split("t", "\n").alias("all")).select("i", "h", F.size("all").alias("n_lines"), F.posexplode("all").alias("p", "line")).select("i", "h", "n_lines", "p", place.alias("o"), "line")
+    if seen["odd"]:
+        texts = texts.withColumn("t", spaced(F.col("t"), blank(F.col("t"))))
 
-    counters = sketch(texts, bits)
+    counters = sketch(words, bits)
     once = F.lit(1 << 56)
-    code = lambda c, h: F.coalesce(c[h.bitwiseAND((1 << bits) - 1)], F.lit(0).cast("byte")).cast("long")
-    rank = lambda c, h: F.shiftleft(code(c, h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    # the sketch is a subquery's value, named once, so no row holds a copy of it; ranks can't be null, see ``hashes``
-    ranks = F.transform(hashes(F.col("line")), lambda w: rank(F.col("sketch"), w))
-    ranked = cells.withColumn("sketch", counters.scalar()).select("i", "h", "n_lines", "p", "o", (F.trim("line") != "").alias("some"), F.sort_array(F.array_distinct(ranks)).alias("s"))
+    # neither the word nor its counter can be null, but only this tells the planner, see ``hashes``
+    rank = lambda c, h: F.coalesce(F.shiftleft(c[h.bitwiseAND((1 << bits) - 1)].cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("long"))
+    # the sketch is a subquery's value, named once, so no row holds a copy of it
+    ranks = F.transform("s", lambda w: rank(F.col("sketch"), w))
+    ranked = words.withColumn("sketch", counters.scalar()).select("i", "h", "n_lines", "p", place.alias("o"), "some", F.sort_array(ranks).alias("s"))
     n = F.when(F.col("some"), F.size("s")).otherwise(0)
     size = (n - F.ceil(threshold * n - 1e-9) + 1).cast("int")
-    rare = F.slice("s", 1, F.greatest(size, F.lit(0)))
-    # ranks ascend, so the first or last one often tells of all of them
-    first, last = F.get("s", F.lit(0)), F.get("s", size - 1)
     # a parity bit for each of the 64 values of the hash's six upper bits; shifts take their length modulo 64
     bitmap = F.aggregate("s", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(k, 50).cast("int"))))
-    prefix = F.when(first >= once, rare).otherwise(F.filter(rare, lambda k: k >= once))
-    # words with fewer occurrences than this code are surely in at most `few` classes; they come first
-    surely = F.lit((1 + math.floor(2 * math.log2(few + 1))) << 56)
-    sure = F.when((first >= once) & (last < surely), size).when(first >= surely, 0).otherwise(F.size(F.filter(rare, lambda k: (k >= once) & (k < surely))))
     none = F.array().cast("array<long>")
     lines = ranked.select(
         "i", "h", "n_lines", "p", "o", n.alias("n"), F.when(n >= LEAST, bitmap).otherwise(F.lit(0).cast("long")).alias("b"), F.xxhash64("s").alias("c1"), F.xxhash64(F.lit(1), "s").alias("c2"),
-        F.when(n >= LEAST, prefix).otherwise(none).alias("a"), F.when(n >= LEAST, sure).otherwise(F.lit(0)).alias("sure"),
-        size.alias("size"), F.when(n <= LEAST, F.col("s")).alias("few"),
+        F.when(n >= LEAST, F.slice("s", F.lit(1), size)).otherwise(none).alias("a"),
+        F.when(n <= LEAST, F.col("s")).alias("few"),
     )
     lines = cut(lines, "lines")
+    discard(words)
     rows = lines.where("p = 0").select("i", "h", F.col("n_lines").cast("long"))
-    lines = lines.where("n > 0").withColumn("skip", F.col("size") - F.size("a"))
+    lines = lines.where("n > 0")
 
     classes = cut(lines.groupBy("c1", "c2").agg(F.min("o").alias("first"), F.count("*").alias("many")).where("many > 1"), "lines-classes")
     members = lines.select("i", "h", "p", "o", "c1", "c2")
@@ -168,9 +170,11 @@ def rows_and_removed(docs: DataFrame, threshold: float = 0.8, bits: int = 22, fe
     # Of prefix words with at most `few` classes all pairs are tested; the rows of more common words are kept apart for
     # the two steps below, which pair no group in full, and aren't sent anywhere before they are told apart. The
     # sketch tells most words that are surely not common, so only the others are counted.
-    prefix = first.where(F.size("a") > 0).select("o", "n", "b", "skip", "sure", F.posexplode("a").alias("k", "w"))
+    prefix = first.where(F.size("a") > 0).select("o", "n", "b", F.posexplode("a").alias("k", "w")).where(F.col("w") >= once)
+    # words with fewer occurrences than this code are surely in at most `few` classes
+    surely = F.lit((1 + math.floor(2 * math.log2(few + 1))) << 56)
     # a row has the set's size and the word's position as one number, m, as rows are many
-    prefix = prefix.select(F.col("w").bitwiseAND(0x7FFFFFFF).cast("int").alias("w"), "o", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("skip") + F.col("k")).cast("long")).alias("m"), "b", (F.col("k") < F.col("sure")).alias("sure"))
+    prefix = prefix.select(F.col("w").bitwiseAND(0x7FFFFFFF).cast("int").alias("w"), "o", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("k").cast("long")).alias("m"), "b", (F.col("w") < surely).alias("sure"))
     common = cut(prefix.where("not sure").groupBy("w").agg(F.count("*").alias("many")).where(F.col("many") > few).select("w"), "lines-common")
     common = F.broadcast(common) if common.count() <= small else common
     parts = lambda m, b: {"n": F.shiftright(m, 32).cast("int"), "p": m.bitwiseAND(0x7FFFFFFF).cast("int"), "b": b}

@@ -123,3 +123,21 @@ def test_repeated_rows_and_narrow_ids(spark):
     assert out.schema["doc_id"].dataType == df.schema["doc_id"].dataType
     assert sorted(map(tuple, out.where("doc_id is not null").collect())) == sorted([(0, 1, 0, ""), (1, 3, 1, "0"), (2, 2, 2, "0,1")] * 2)
     assert [tuple(r) for r in out.where("doc_id is null").collect()] == [(None, 1, 0, "")]
+
+
+def test_texts_without_any_word(spark):
+    assert {tuple(r) for r in D.report(make(spark, ["", None, " \t\n"]), bits=10).collect()} == {(0, 1, 0, ""), (1, 1, 0, ""), (2, 2, 0, "")}
+
+
+def test_texts_are_split_once_and_few_lambdas_run_for_each_word(spark, monkeypatch):
+    """Splitting, and lambdas, which aren't compiled, cost op4 most of its time."""
+    plans, kept = {}, D.cut
+
+    def cut(df, label, **options):
+        plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df, label, **options)
+
+    monkeypatch.setattr(D, "cut", cut)
+    out = D.report(make(spark, ["one\ttwo three", "three two one\n", None]), bits=10)
+    assert {tuple(r) for r in out.collect()} == {(0, 1, 0, ""), (1, 2, 1, "0"), (2, 1, 0, "")}
+    assert "split(" not in plans["lines-sketch"] and "split(" not in plans["lines"] and "filter(" not in plans["lines"]
